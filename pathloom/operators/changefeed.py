@@ -177,10 +177,12 @@ def apply_changes(entries: DataFrame, raw_usn: DataFrame, volumes: DataFrame) ->
         F.max("entry_id").alias("entry_id"), F.max_by("__file", "entry_id").alias("__file"), F.max_by("__pos", "entry_id").alias("__pos"),
     )
     folded = fold_changes(current_records(raw_usn, volumes))
-    old = folded.join(index.select("vol", "frn", "entry_id"), ["vol", "frn"], "left")
-    # The prior image is fetched by the unique entry_id, so a key with many old rows stays in balance.
-    prior = entries.select("entry_id", "parent_frn", "name", "flags")
-    images = materialize(apply_fold(old.join(prior, "entry_id", "left")), "images")
+    old = folded.join(index, ["vol", "frn"], "left")
+    # The prior image is fetched by its position, so a key with many old rows stays in balance. New keys have
+    # no position; they are spread by their own hash, under a position that no row has.
+    old = old.withColumns({"__file": F.coalesce("__file", F.xxhash64("vol", "frn")), "__pos": F.coalesce("__pos", F.lit(-1).cast("long"))})
+    prior = scan.select("__file", "__pos", "parent_frn", "name", "flags")
+    images = materialize(apply_fold(old.join(prior, ["__file", "__pos"], "left")), "images")
 
     kept = index.join(images.select("vol", "frn"), ["vol", "frn"], "left_anti")
     kept = kept.select("__file", F.shiftright("__pos", 15).alias("__block"), F.col("__pos").bitwiseAND(BITS - 1).alias("__bit"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import catalog_queries
 from .operators import balance, changefeed, hierarchy, orphans
 from .sources.tables import read_table as t
 
@@ -114,8 +115,8 @@ ORACLE["p5_found"] = f"""{_WALK} select b.vol, b.frn, case when exists (select 1
 
 
 def queries():
-    return dict(PROBLEMS)
+    return PROBLEMS | catalog_queries.QUERIES
 
 
 def oracle_sql():
-    return dict(ORACLE)
+    return ORACLE | catalog_queries.ORACLE
