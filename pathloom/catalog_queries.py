@@ -22,7 +22,7 @@ up as (select n.*, v.letter, v.enabled, coalesce(n.frn = v.root_frn, false) is_r
 edge as (select u.* from up u join newest n on u.vol = n.vol and u.pp = n.frn),
 tree as (select vol, frn, coalesce(letter, '?') || ':\' || case when is_root then '' else name end path, 0 depth, case when is_root then 'root' else 'orphan' end place, frn top
     from up u where not exists (select 1 from edge e where e.vol = u.vol and e.frn = u.frn)
-  union all select e.vol, e.frn, g.path || case when g.path like '%\' then '' else '\' end || e.name, g.depth + 1, case when g.place in ('root', 'in') then 'in' else 'in_orphan' end, g.top
+  union all select e.vol, e.frn, g.path || case when g.place = 'root' then '' else '\' end || e.name, g.depth + 1, case when g.place in ('root', 'in') then 'in' else 'in_orphan' end, g.top
     from tree g join edge e on e.vol = g.vol and e.pp = g.frn),
 cat as (select u.entry_id, u.vol, u.letter, u.frn, u.p, u.name, u.flags, u.flags & 1 <> 0 is_dir, u.flags & 32768 = 0 live, u.flags & 32768 = 0 and u.enabled visible,
     lower(u.name) nf, nullif(regexp_extract(lower(u.name), '\.([^.\\/]+)$', 1), '') ext, coalesce(g.path, u.name) path, lower(coalesce(g.path, u.name)) pf, g.depth,

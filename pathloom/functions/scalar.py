@@ -65,7 +65,7 @@ def split_name(path: Column) -> Column:
 def truncate_name(name: Column) -> Column:
     """At most :data:`NAME_BYTES` bytes, cut at a character boundary."""
     cut = F.substring(name.cast("binary"), 1, NAME_BYTES)
-    return F.when(F.octet_length(name) <= NAME_BYTES, name).otherwise(F.regexp_replace(F.decode(cut, "UTF-8"), "\ufffd+\\z", ""))
+    return F.when(F.octet_length(name) <= NAME_BYTES, name).otherwise(F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "\ufffd+\\z", ""))
 
 
 def pack_file_id(high: Column, low: Column, wide: bool) -> Column:
@@ -80,7 +80,7 @@ def human_size(size: Column) -> Column:
     """Binary units with one decimal; whole bytes below 1 KB."""
     out = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
     for power, unit in enumerate("KMGTP", 1):
-        shown = F.concat(F.format_number(size / F.lit(1024.0 ** power), "0.0"), F.lit(f" {unit}B"))
+        shown = F.format_string(f"%.1f {unit}B", size / F.lit(1024.0 ** power))
         out = out.when(size < 1024 ** (power + 1), shown) if unit != "P" else out.otherwise(shown)
     return F.when(size.isNotNull(), out)
 

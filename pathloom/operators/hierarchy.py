@@ -81,7 +81,7 @@ def _solve_core(pdf: pd.DataFrame, sep: str, with_paths: bool) -> pd.DataFrame:
             pre[i] = pre[p] + used[p]
             used[p] += size[i]
             if with_paths:
-                path[i] = names[i] if place[i] == "under" else path[p] + ("" if path[p].endswith(sep) else sep) + names[i]
+                path[i] = names[i] if place[i] == "under" else path[p] + ("" if place[p] == "root" else sep) + names[i]
     out = pd.DataFrame({"vol": pdf["vol"], "frn": frn, "parent_frn": pdf["parent_frn"], "size": size, "place": place, "top": top,
                         "circle": pd.array(np.where(circle >= 0, circle, 0), "Int64"), "depth": depth, "pre": pre, "path": path})
     out.loc[circle < 0, "circle"] = pd.NA
@@ -202,7 +202,7 @@ def _assign(layer: DataFrame, known: DataFrame, sep: str) -> DataFrame:
     return rows.select(
         "vol", "frn", "parent_frn", "size", place.alias("place"), F.coalesce("p_top", "frn").alias("top"), F.col("p_circle").alias("circle"),
         F.coalesce(F.col("p_depth") + 1, F.lit(0)).alias("depth"), F.when(alone, 0).otherwise(F.col("p_pre") + F.col("off")).alias("pre"),
-        F.when(alone, own).when(F.col("p_place").isin("on", "under"), name).otherwise(F.concat("p_path", F.when(F.col("p_path").endswith(sep), "").otherwise(sep), name)).alias("path"),
+        F.when(alone, own).when(F.col("p_place").isin("on", "under"), name).otherwise(F.concat("p_path", F.when(F.col("p_place") == "root", "").otherwise(sep), name)).alias("path"),
     )
 
 

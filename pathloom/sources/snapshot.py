@@ -45,16 +45,22 @@ class SnapshotStore:
         path = self._path(f"{self.root}/{name}")
         if not self._fs.exists(path):
             return None
-        return "\n".join(r[0] for r in self.spark.read.option("wholetext", True).text(f"{self.root}/{name}").collect())
+        try:
+            return "\n".join(r[0] for r in self.spark.read.option("wholetext", True).text(f"{self.root}/{name}").collect())
+        except Exception as e:
+            raise SnapshotError(f"{name} cannot be read") from e
 
     def _write_text(self, name: str, text: str) -> None:
         temporary, target = self._path(f"{self.root}/.{name}.tmp"), self._path(f"{self.root}/{name}")
         out = self._fs.create(temporary, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self._fs.delete(target, False)
-        if not self._fs.rename(temporary, target):
-            raise SnapshotError(f"could not move {name} into place")
+        # One atomic step: a reader finds the old pointer or the new one.
+        jvm = self.spark.sparkContext._jvm
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(temporary, target, options)
 
     def header(self) -> dict | None:
         """Header of the current version, or None. Damaged and foreign headers are refused."""
