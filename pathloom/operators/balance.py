@@ -92,14 +92,15 @@ def plan_balance(df: DataFrame, keys: list[str], tasks: int | None = None, track
     return BalancedPlan(list(keys), tasks, total, table, len(on), where[len(shards):])
 
 
-def balanced_join(large: DataFrame, small: DataFrame, keys: list[str], shard_on: list[str], how: str = "inner") -> DataFrame:
+def balanced_join(large: DataFrame, small: DataFrame, keys: list[str], shard_on: list[str], how: str = "inner", loads: DataFrame | None = None) -> DataFrame:
     """``large`` joined with ``small`` on ``keys`` (same names on both sides), hot keys of ``large`` split.
 
     ``small`` may hold any number of rows; it is shuffled, never broadcast, and
     only rows whose key is hot in ``large`` are copied. ``how``: inner, left or
     left_semi, as these leave each large row where it is. Null keys match nothing.
+    ``loads`` has the keys of ``large`` where that is dear to compute twice.
     """
-    plan = plan_balance(large, keys)
+    plan = plan_balance(large if loads is None else loads, keys)
     joined = plan.fragment(large, shard_on).join(plan.replicate(small), [_TASK, *keys], how)
     return joined.drop(_TASK)
 

@@ -193,7 +193,7 @@ def _assign(layer: DataFrame, known: DataFrame, sep: str) -> DataFrame:
         "vol", F.col("frn").alias("parent_frn"), F.col("place").alias("p_place"), F.col("top").alias("p_top"), F.col("circle").alias("p_circle"),
         F.col("depth").alias("p_depth"), (F.col("pre") + 1 + F.coalesce("__taken", F.lit(0))).alias("p_pre"), F.col("path").alias("p_path"))
     rows = off.where(~F.col("is_root"))
-    rows = balanced_join(rows, parents, ["vol", "parent_frn"], ["frn"], "left").unionByName(off.where("is_root"), allowMissingColumns=True)
+    rows = balanced_join(rows, parents, ["vol", "parent_frn"], ["frn"], "left", layer).unionByName(off.where("is_root"), allowMissingColumns=True)
     alone = F.col("p_place").isNull()
     place = F.when(F.col("is_root"), "root").when(alone, "orphan").when(F.col("p_place").isin("on", "under"), "under").when(
         F.col("p_place").isin("root", "in"), "in").otherwise("in_orphan")
