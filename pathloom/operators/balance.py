@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from ..session import parallelism
 
-_TASK, _HASH, _TASKS = "__bal_task", "__bal_hash", "__bal_tasks"
+_TASK, _HASH, _TASKS, _BUCKET, _LIGHT = "__bal_task", "__bal_hash", "__bal_tasks", "__bal_bucket", "__bal_light"
+#: Buckets of light keys that are placed by a literal; beyond it by a broadcast table of eight rows a task.
+LITERAL_BUCKETS = 4096
+#: Most counters the sketch can hold.
+SKETCH_ITEMS = 1_000_000
 
 
 def pack(loads: list[float], bins: int) -> list[int]:
@@ -43,11 +47,16 @@ class BalancedPlan:
 
     def _placed(self, df: DataFrame, keys: list[str]) -> DataFrame:
         hashed = df.withColumn(_HASH, F.xxhash64(*keys))
+        if len(self.bucket_task) > LITERAL_BUCKETS:
+            light = df.sparkSession.createDataFrame(list(enumerate(self.bucket_task)), f"{_BUCKET} int, {_LIGHT} int")
+            hashed = hashed.withColumn(_BUCKET, F.pmod(F.col(_HASH), F.lit(len(self.bucket_task))).cast("int")).join(F.broadcast(light), _BUCKET)
         if self.heavy_count:
             return hashed.join(F.broadcast(self.heavy), _HASH, "left")
         return hashed.withColumn(_TASKS, F.lit(None).cast("array<int>"))
 
     def _light_task(self) -> Column:
+        if len(self.bucket_task) > LITERAL_BUCKETS:
+            return F.col(_LIGHT)
         places = F.array(*[F.lit(t) for t in self.bucket_task])
         return F.get(places, F.pmod(F.col(_HASH), F.lit(len(self.bucket_task))).cast("int"))
 
@@ -56,13 +65,13 @@ class BalancedPlan:
         shard = F.pmod(F.xxhash64(*[F.col(c) for c in shard_on], F.lit("shard")), F.size(_TASKS)).cast("int")
         task = F.coalesce(F.get(F.col(_TASKS), shard), self._light_task())
         placed = self._placed(df, self.keys).withColumn(_TASK, task)
-        return placed.drop(_HASH, _TASKS).repartitionById(self.tasks, _TASK)
+        return placed.drop(_HASH, _TASKS, _BUCKET, _LIGHT).repartitionById(self.tasks, _TASK)
 
     def replicate(self, df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         """Rows of the matching side, one copy on every task that holds a shard of their key."""
         task = F.explode(F.coalesce(F.array_distinct(_TASKS), F.array(self._light_task())))
         placed = self._placed(df, keys or self.keys).withColumn(_TASK, task)
-        return placed.drop(_HASH, _TASKS).repartitionById(self.tasks, _TASK)
+        return placed.drop(_HASH, _TASKS, _BUCKET, _LIGHT).repartitionById(self.tasks, _TASK)
 
 
 def plan_balance(df: DataFrame, keys: list[str], tasks: int | None = None, tracked_per_task: int = 16) -> BalancedPlan:
@@ -76,9 +85,10 @@ def plan_balance(df: DataFrame, keys: list[str], tasks: int | None = None, track
     """
     spark = df.sparkSession
     tasks = tasks or parallelism(spark)
-    top = 4 * tasks
+    tracked = min(SKETCH_ITEMS, tracked_per_task * tasks)
+    top = min(4 * tasks, tracked)
     found = df.select(F.xxhash64(*keys).alias("h")).agg(
-        F.count("*").alias("n"), F.expr(f"approx_top_k(h, {top}, {max(top, tracked_per_task * tasks)})").alias("top")
+        F.count("*").alias("n"), F.expr(f"approx_top_k(h, {top}, {tracked})").alias("top")
     ).first()
     total, share = found["n"], max(1.0, found["n"] / (4 * tasks))
     heavy = [(r["item"], r["count"]) for r in found["top"] or [] if r["count"] > share / 2 and found["n"] > tasks]

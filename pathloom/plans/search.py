@@ -112,6 +112,11 @@ def search(catalog: DataFrame, query: str, limit: int = 1000, offset: int = 0, s
     return Result(hit_rows(page, not by_time), total, found)
 
 
+def with_path_filter(query: str, folder: str) -> str:
+    """The query with a ``path:`` term in front; an empty folder changes nothing."""
+    return " ".join(part for part in (folder.strip() and f"path:{folder.strip()}", query.strip()) if part)
+
+
 def highlight(name: str, query: str) -> list[tuple[int, int]]:
     """Merged character ranges of a shown name that the query's text terms cover."""
     from ..query.ast import Contains, Not, Whole

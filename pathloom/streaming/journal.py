@@ -12,42 +12,61 @@ STATE = ["vol", "frn", "parent_frn", "name", "flags"]
 
 
 class StateTable:
-    """State versions below ``root``, one per micro-batch. A batch that runs again overwrites its own version."""
+    """State below ``root`` as a base and one small delta per micro-batch: the rows of the keys it touched.
+
+    A batch that runs again overwrites its own delta, so nothing is applied twice.
+    """
 
     def __init__(self, spark: SparkSession, root: str, initial: DataFrame):
         self.spark, self.root = spark, root.rstrip("/")
-        self.initial = initial.select(*STATE)
-
-    def read(self, version: int) -> DataFrame:
-        if version < 0:
-            return self.initial
-        return self.spark.read.schema(self.initial.schema).parquet(f"{self.root}/batch={version}")
-
-    def write(self, state: DataFrame, version: int) -> None:
-        state.write.mode("overwrite").parquet(f"{self.root}/batch={version}")
-
-
-def step(state: DataFrame, batch: DataFrame, volumes: DataFrame) -> DataFrame:
-    """State after one batch: untouched rows as they are, touched keys folded. Tombstones are kept for good."""
+        self.base, self.base_version = initial.select(*STATE), -1
+
+    def _deltas(self, version: int) -> list[DataFrame]:
+        paths = range(self.base_version + 1, version + 1)
+        return [self.spark.read.schema(self.base.schema).parquet(f"{self.root}/batch={v}").withColumn("__batch", F.lit(v)) for v in paths]
+
+    def read(self, version: int, keys: DataFrame | None = None) -> DataFrame:
+        """State after a batch, or only its rows of ``keys``: these are cut out before versions are compared."""
+        rows = self.base.withColumn("__batch", F.lit(-1))
+        for delta in self._deltas(version):
+            rows = rows.unionByName(delta)
+        if keys is not None:
+            rows = rows.join(keys, ["vol", "frn"], "left_semi")
+        newest = rows.groupBy("vol", "frn").agg(F.max_by(F.struct(*STATE[2:]), "__batch").alias("s"))
+        return newest.select("vol", "frn", "s.*")
+
+    def write(self, touched: DataFrame, version: int) -> None:
+        touched.select(*STATE).write.mode("overwrite").parquet(f"{self.root}/batch={version}")
+
+    def compact(self, version: int) -> None:
+        """Fold the deltas up to a version into a new base; tombstones stay."""
+        path = f"{self.root}/base={version}"
+        self.read(version).write.mode("overwrite").parquet(path)
+        self.base, self.base_version = self.spark.read.schema(self.base.schema).parquet(path), version
+
+
+def step(table: StateTable, version: int, batch: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Rows of the keys that one batch touches, from the state after ``version``. Tombstones are kept for good."""
     folded = fold_changes(current_records(batch, volumes))
-    prior = state.withColumn("entry_id", F.lit(0).cast("long"))
-    touched = apply_fold(folded.join(prior, ["vol", "frn"], "left"))
-    return state.join(folded.select("vol", "frn"), ["vol", "frn"], "left_anti").select(*STATE).unionByName(touched.select(*STATE))
+    prior = table.read(version, folded.select("vol", "frn")).withColumn("entry_id", F.lit(0).cast("long"))
+    return apply_fold(folded.join(prior, ["vol", "frn"], "left"))
 
 
-def follow(spark: SparkSession, journal_dir: str, table: StateTable, volumes: DataFrame, checkpoint: str, interval: str | None = None, files_per_batch: int = 10):
+def follow(spark: SparkSession, journal_dir: str, table: StateTable, volumes: DataFrame, checkpoint: str, interval: str | None = None, files_per_batch: int = 10, compact_every: int = 100):
     """Start the tail: all that is there now (``interval`` None) or a poll every ``interval`` (such as ``750 milliseconds``).
 
     Batches must arrive in usn order per key, as journals are written; within a
     batch any order and repetition is fine. After a restart the checkpoint
-    continues; a repeated batch gives the same version. Volumes with
+    continues; a repeated batch gives the same delta. Volumes with
     ``monitor`` false are not followed.
     """
     watched = volumes.where(F.coalesce("monitor", F.lit(True)))
     source = spark.readStream.schema(SCHEMAS["raw_usn"]).option("maxFilesPerTrigger", files_per_batch).parquet(journal_dir)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        table.write(step(table.read(batch_id - 1), batch, watched), batch_id)
+        table.write(step(table, batch_id - 1, batch, watched), batch_id)
+        if batch_id - table.base_version >= compact_every:
+            table.compact(batch_id)
 
     writer = source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}

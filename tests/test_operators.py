@@ -134,7 +134,7 @@ def test_asof(spark, block):
     assert {r["id"]: r["v"] for r in out.collect()} == {i: None if at is None else best(k, at) for k, at, i in left}
 
 
-def test_balance(spark):
+def test_balance(spark, monkeypatch):
     rows = [(0, 1 if i % 3 else i, i, 0) for i in range(3000)] + [(0, None, i, 0) for i in range(500)]
     e = entries(spark, [(v, f, p, "n", fl) for v, p, f, fl in rows])
     assert {(r["vol"], r["parent_frn"]) for r in balance.heavy_folders(e).collect()} == {(0, 1)}
@@ -148,6 +148,8 @@ def test_balance(spark):
     joined = balance.balanced_join(e, small, ["vol", "parent_frn"], ["frn"])
     assert Counter(r["label"] for r in joined.collect()) == {"hot": want[1], "three": 1}
     assert balance.balanced_join(e, small, ["vol", "parent_frn"], ["frn"], "left").count() == 3500
+    monkeypatch.setattr(balance, "LITERAL_BUCKETS", 3)
+    assert balance.balanced_join(e, small, ["vol", "parent_frn"], ["frn"], "left").count() == 3500
     assert balance.pack([5, 4, 3, 3, 3], 2) in ([0, 1, 1, 0, 1], [0, 1, 1, 1, 0])
 
 
@@ -207,6 +209,8 @@ def test_stream_equals_batch(spark, tmp_path, seed):
         query = follow(spark, str(journal), table, v, str(tmp_path / "checkpoint"))
         query.awaitTermination()
         assert query.exception() is None
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir())
-    got = {(r["vol"], r["frn"]): (r["parent_frn"], r["name"], r["flags"]) for r in table.read(last).collect()}
-    assert got == state
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").glob("batch=*"))
+    for _ in range(2):
+        got = {(r["vol"], r["frn"]): (r["parent_frn"], r["name"], r["flags"]) for r in table.read(last).collect()}
+        assert got == state
+        table.compact(last)

@@ -3,7 +3,7 @@ import re
 import pytest
 
 from pathloom.plans.catalog import build_catalog
-from pathloom.plans.search import highlight, matches
+from pathloom.plans.search import highlight, matches, with_path_filter
 from pathloom.query import ast, regex_dialect
 from pathloom.query.parser import parse, reusable
 from pathloom.session import materialize
@@ -138,3 +138,7 @@ def test_narrowing_rule(before, after, ok):
 def test_highlight():
     assert highlight("Report report.txt", "report !x ext:txt") == [(0, 6), (7, 13)]
     assert highlight("abcabc", "ab bc") == [(0, 6)] or highlight("abcabc", "ab bc") == [(0, 3), (3, 6)]
+
+
+def test_path_filter():
+    assert with_path_filter(" ext:rs ", " src ") == "path:src ext:rs" and with_path_filter("x", " ") == "x" and with_path_filter("", "src") == "path:src"
