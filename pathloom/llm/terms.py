@@ -8,8 +8,11 @@ merge by union, and the document frequency is the sum of their cardinalities.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Record ids per container.
 SPAN = 1 << 15
@@ -24,12 +27,13 @@ def _bucket(record: str):
 
 
 def containers(records: DataFrame, record: str, text: str) -> DataFrame:
-    """Containers of every term of ``text``: (term, bucket, cardinality, occurrences, positions, bitmap).
+    """Containers of every term of ``text``: (term, bucket, cardinality, occurrences, positions, bitmap, repeats).
 
     A term is a maximal run of letters and numbers of the lower-cased text. A
     record delivered twice has the same positions and counters, so the union
-    counts it once. Of positions and bitmap one is null. Null texts and null
-    record ids are no records; a text without a term has no container.
+    counts it once. Null texts and null
+    record ids are no records; a text without a term has no container. Of
+    positions and bitmap one is null; repeats holds the counters above one.
     """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0))
     marked = F.transform(words, lambda w, i: F.struct(w.alias("term"), (F.array_position(words, w) == i + 1).alias("first")))
@@ -39,12 +43,42 @@ def containers(records: DataFrame, record: str, text: str) -> DataFrame:
     placed = one.select("w.term", "bucket", "bit", "w.first").repartition("term", "bucket")
     # A record delivered n times shows each occurrence n times and the first one n times.
     counted = placed.groupBy("term", "bucket", "bit").agg((F.count("*") / F.count_if("first")).cast("long").alias("times"))
+    return _packed(counted)
+
+
+def _packed(counted: DataFrame) -> DataFrame:
+    """Containers of distinct (term, bucket, bit, times)."""
     packed = counted.groupBy("term", "bucket").agg(
-        F.count("*").alias("cardinality"), F.sum("times").alias("occurrences"), F.bitmap_construct_agg("bit").alias("bitmap"), F.collect_list("bit").alias("bits"))
+        F.count("*").alias("cardinality"), F.sum("times").alias("occurrences"), F.bitmap_construct_agg("bit").alias("bitmap"), F.collect_list("bit").alias("bits"),
+        F.collect_list(F.when(F.col("times") > 1, F.struct(F.col("bit").cast("int").alias("bit"), "times"))).alias("repeats"))
     dense = F.col("cardinality") >= DENSE
     return packed.select(
         "term", "bucket", F.when(dense, F.bitmap_count("bitmap")).otherwise(F.col("cardinality")).alias("cardinality"), "occurrences",
-        F.when(~dense, F.array_sort("bits")).alias("positions"), F.when(dense, F.col("bitmap")).alias("bitmap"))
+        F.when(~dense, F.array_sort("bits")).alias("positions"), F.when(dense, F.col("bitmap")).alias("bitmap"), F.array_sort("repeats").alias("repeats"))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bits(bitmaps: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")) for b in bitmaps], dtype=object)
+
+
+def merge_containers(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Union of container tables, such as those of several deliveries.
+
+    A record found in more than one counts once, with its own counter.
+    """
+    every = first
+    for other in others:
+        every = every.unionByName(other)
+    listed = every.select("term", "bucket", F.coalesce("positions", _bits("bitmap")).alias("bits"), F.map_from_entries("repeats").alias("repeats"))
+    one = listed.select("term", "bucket", F.explode("bits").alias("bit"), "repeats").select(
+        "term", "bucket", "bit", F.coalesce(F.element_at("repeats", F.col("bit").cast("int")), F.lit(1).cast("long")).alias("times"))
+    return _packed(one.repartition("term", "bucket").groupBy("term", "bucket", "bit").agg(F.max("times").alias("times")))
+
+
+def document_frequencies(table: DataFrame) -> DataFrame:
+    """(term, n_occurrences, n_records) of a container table."""
+    return table.groupBy("term").agg(F.sum("occurrences").alias("n_occurrences"), F.sum("cardinality").alias("n_records"))
 
 
 def count_records(records: DataFrame, record: str, text: str) -> int:
@@ -62,7 +96,6 @@ def term_statistics(records: DataFrame, record: str, text: str, rare_below: int
     An empty table gives no rows.
     """
     total = count_records(records, record, text)
-    per_term = containers(records, record, text).groupBy("term").agg(
-        F.sum("occurrences").alias("n_occurrences"), F.sum("cardinality").alias("n_records"))
+    per_term = document_frequencies(containers(records, record, text))
     mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") * common_share > total, "common")
     return per_term.select("term", "n_occurrences", "n_records", mark.alias("mark"))

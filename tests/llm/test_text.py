@@ -35,6 +35,16 @@ def test_terms(spark):
     assert terms.term_statistics(hits(spark, []), "hit_id", "name").count() == 0
 
 
+@pytest.mark.parametrize("dense", [2048, 3])
+def test_containers_merge_by_union(spark, monkeypatch, dense):
+    monkeypatch.setattr(terms, "DENSE", dense)
+    rows = [(i, ("a a b" if i % 2 else "a c c c") + f" {i % 4}", None) for i in range(40)] + [(70_000, "b b", None)]
+    whole = terms.containers(hits(spark, rows), "hit_id", "name")
+    parts = [terms.containers(hits(spark, part), "hit_id", "name") for part in (rows[:25], rows[15:])]
+    merged = terms.merge_containers(*parts)
+    assert sorted(map(str, merged.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_dense_containers(spark, monkeypatch):
     monkeypatch.setattr(terms, "DENSE", 50)
     df = hits(spark, [(i, "all even" if i % 2 == 0 else "all", None) for i in range(100)] + [(40_000, "all", None)])
