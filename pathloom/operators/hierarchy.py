@@ -123,13 +123,12 @@ def _peel(nodes: DataFrame, core_nodes: int) -> tuple[list[DataFrame], DataFrame
 
 
 def _nodes(entries: DataFrame, volumes: DataFrame, names: bool) -> DataFrame:
-    newest = newest_entries(entries, "parent_frn")
+    newest = newest_entries(entries, "parent_frn", *["name"] * names)
     v = volumes.where("vol is not null").groupBy("vol").agg(F.max_by("root_frn", "next_usn").alias("root_frn"), F.max_by("letter", "next_usn").alias("letter"))
     newest = newest.join(v, "vol", "left").withColumn("is_root", F.coalesce(F.col("frn") == F.col("root_frn"), F.lit(False)))
     if not names:
         return newest.select("vol", "frn", "parent_frn", "is_root")
-    named = entries.groupBy("entry_id").agg(F.max("name").alias("name"))
-    return newest.join(named, "entry_id").select("vol", "frn", "parent_frn", "is_root", "letter", "name")
+    return newest.select("vol", "frn", "parent_frn", "is_root", "letter", "name")
 
 
 def circles(entries: DataFrame, volumes: DataFrame, core_nodes: int = CORE_NODES) -> DataFrame:

@@ -22,13 +22,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def newest_entries(entries: DataFrame, *columns: str) -> DataFrame:
-    """One row per (vol, frn): the given fixed-width columns of the row with the highest entry_id.
+    """One row per (vol, frn): the given columns of the row with the highest entry_id.
 
     ``max_by`` on fixed-width columns keeps its buffer in the hash map of the
-    aggregation, so repeated rows collapse before the shuffle. Rows without
+    aggregation; with text among them, all columns travel as one struct, which
+    moves names once, where fetching them by entry_id would move them three
+    times. Repeated rows collapse before the shuffle either way. Rows without
     vol, frn or entry_id name no node and are left out.
     """
-    keyed = entries.where("vol is not null and frn is not null and entry_id is not null")
-    return keyed.groupBy("vol", "frn").agg(
-        F.max("entry_id").alias("entry_id"), *[F.max_by(c, "entry_id").alias(c) for c in columns]
-    )
+    keyed = entries.where("vol is not null and frn is not null and entry_id is not null").groupBy("vol", "frn")
+    kinds = dict(entries.dtypes)
+    if any(kinds[c] in ("string", "binary") for c in columns):
+        newest = keyed.agg(F.max("entry_id").alias("entry_id"), F.max_by(F.struct(*columns), "entry_id").alias("__row"))
+        return newest.select("vol", "frn", "entry_id", *[F.col("__row")[c].alias(c) for c in columns])
+    return keyed.agg(F.max("entry_id").alias("entry_id"), *[F.max_by(c, "entry_id").alias(c) for c in columns])
