@@ -20,18 +20,18 @@ def build_catalog(entries: DataFrame, volumes: DataFrame, paths: bool = True) ->
     Always: entry_id, vol, letter, frn, parent_frn, name, flags, is_dir,
     is_live, visible, name_fold, ext_fold. With ``paths`` also place, depth,
     path, folder, path_fold, components, components_fold, parent_known.
-    Superseded rows never match and are not kept. A null name is empty.
+    Superseded rows never match and are not kept. A null name is empty, and so
+    is a missing extension: predicates stay two-valued and can be pushed down.
     """
-    newest = newest_entries(entries, "parent_frn", "flags")
-    names = entries.groupBy("entry_id").agg(F.max("name").alias("name"))
+    newest = newest_entries(entries, "parent_frn", "flags", "name")
     v = volumes.where("vol is not null").select("vol", "letter", "enabled").dropDuplicates(["vol"])
-    rows = newest.join(names, "entry_id").join(v, "vol", "left")
+    rows = newest.join(v, "vol", "left")
     flags = F.coalesce("flags", F.lit(0))
     live = flags.bitwiseAND(TOMBSTONE) == 0
     name = F.coalesce("name", F.lit(""))
     base = rows.select(
         "entry_id", "vol", "letter", "frn", "parent_frn", name.alias("name"), flags.alias("flags"), scalar.has_flag(flags, 1).alias("is_dir"), live.alias("is_live"),
-        (live & F.coalesce("enabled", F.lit(False))).alias("visible"), scalar.fold(name).alias("name_fold"), scalar.extension(name).alias("ext_fold"))
+        (live & F.coalesce("enabled", F.lit(False))).alias("visible"), scalar.fold(name).alias("name_fold"), F.coalesce(scalar.extension(name), F.lit("")).alias("ext_fold"))
     if not paths:
         return base
     tree = hierarchy(entries, volumes).select("vol", "frn", "place", "depth", "path")

@@ -121,7 +121,7 @@ def compile_node(node: Node, resolve: Resolver | None = None) -> Column:
             case Kind(directory):
                 return F.col("is_dir") if directory else ~F.col("is_dir")
             case Ext(names):
-                return F.coalesce(F.col("ext_fold").isin(*names), F.lit(False))
+                return F.col("ext_fold").isin(*names)
             case Whole(text, case):
                 return F.col("name") == text if case else F.col("name_fold") == fold(text)
             case Contains():

@@ -30,8 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+_OPEN: set[str] = set()
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pathloom/{name}-{uuid.uuid4().hex}"
+    """A path for one table, in this application's own part of the shared folder, which is deleted at exit."""
+    own = f"{shared_dir(spark)}/pathloom/{spark.sparkContext.applicationId}"
+    if own not in _OPEN:
+        _OPEN.add(own)
+        atexit.register(_forget, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, own: str) -> None:
+    try:
+        drop_table(spark, own)
+    except Exception:  # noqa: BLE001 - the session ended first
+        shutil.rmtree(own.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application now. Results not yet written can no longer be read."""
+    own = f"{shared_dir(spark)}/pathloom/{spark.sparkContext.applicationId}"
+    drop_table(spark, own)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
