@@ -4,6 +4,22 @@ from __future__ import annotations
 
 import re
 
+#: Characters that one frame of results may stem from, so that batches of very long texts stay small in memory.
+FRAME_CHARS = 4_000_000
+
+
+def slices(texts):
+    """Row ranges of at most :data:`FRAME_CHARS` characters, or of one longer text."""
+    start, chars = 0, 0
+    for i, text in enumerate(texts):
+        size = len(text) if text else 0
+        if chars + size > FRAME_CHARS and i > start:
+            yield slice(start, i)
+            start, chars = i, 0
+        chars += size
+    if start < len(texts):
+        yield slice(start, len(texts))
+
 _QUOTE = (re.compile(r"(?P<open><blockquote\b[^>]*>)|(?P<close></blockquote>)", re.I), re.compile(r"(?P<open>\[quote\b[^\]]*\])|(?P<close>\[/quote\])", re.I))
 _CODE = (re.compile(r"(?P<open>\[code\b[^\]]*\])|(?P<close>\[/code\])", re.I), re.compile(r"(?P<open><(?:code|pre)\b[^>]*>)|(?P<close></(?:code|pre)>)", re.I))
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .forum import slices
 
 #: Consecutive words that make a passage.
 WINDOW = 12
@@ -96,8 +97,9 @@ def _windows(window: int):
     def run(batches):
         make = Windows(window)
         for pdf in batches:
-            pairs = [make.of(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "template": [a for a, _ in pairs], "literal": [b for _, b in pairs]})
+            for rows in slices(pdf["text"].array):
+                pairs = [make.of(t) for t in pdf["text"].iloc[rows]]
+                yield pd.DataFrame({"id": pdf["id"].iloc[rows], "template": [a for a, _ in pairs], "literal": [b for _, b in pairs]})
 
     return run
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .forum import own_words
+from .forum import own_words, slices
 
 #: A line in at least this many posts of one host is boilerplate.
 RECURRENT = 25
@@ -130,8 +130,9 @@ _LINES = "doc_id long, host string, lines array<struct<line: string, kind: strin
 
 def _dissect(batches):
     for pdf in batches:
-        lines = [[{"line": a, "kind": k, "words": n} for a, k, n in dissect(t)] for t in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "host": pdf["host"], "lines": lines})
+        for rows in slices(pdf["text"].array):
+            lines = [[{"line": a, "kind": k, "words": n} for a, k, n in dissect(t)] for t in pdf["text"].iloc[rows]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[rows], "host": pdf["host"].iloc[rows], "lines": lines})
 
 
 EVIDENCE = ("slot", "error", "notice", "filler")

@@ -169,6 +169,13 @@ def test_boilerplate_is_subtracted(spark):
     assert [r["doc_id"] for r in residue.residue(spark.createDataFrame(rows, DOCS)).collect()] == [100]
 
 
+def test_slices(monkeypatch):
+    monkeypatch.setattr(forum, "FRAME_CHARS", 5)
+    texts = ["abc", None, "ab", "x", "y" * 20, "", "z"]
+    cut = list(forum.slices(texts))
+    assert [t for s in cut for t in texts[s]] == texts and len(cut) == 4 and list(forum.slices([])) == []
+
+
 def test_own_words():
     assert forum.own_words("a\n> b\nc") == "a\nc" and forum.own_words("<blockquote>a<blockquote>b</blockquote>c</blockquote>d") == "d"
     assert forum.own_words("bob wrote:\n> x\nmine\n-- \nsig") == "mine" and forum.own_words("> a [code]x[/code] b\nmine") == "mine"
