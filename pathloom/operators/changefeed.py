@@ -86,6 +86,21 @@ def fold_changes(records: DataFrame) -> DataFrame:
     )
 
 
+#: Column types of a fold, as it is stored.
+_IMAGE = "struct<parent_frn: bigint, name: string, flags: int>"
+FOLD = f"made_usn long, made {_IMAGE}, set_usn long, set {_IMAGE}, over_usn long, over_flags int, create_usn long, delete_usn long"
+
+
+def merge_folds() -> list[Column]:
+    """Aggregates that make one fold of several folds of a key, in any order and however often each is there."""
+    return [
+        F.min("made_usn").alias("made_usn"), F.min_by("made", "made_usn").alias("made"),
+        F.max("set_usn").alias("set_usn"), F.max_by("set", "set_usn").alias("set"),
+        F.max("over_usn").alias("over_usn"), F.max_by("over_flags", "over_usn").alias("over_flags"),
+        F.max("create_usn").alias("create_usn"), F.max("delete_usn").alias("delete_usn"),
+    ]
+
+
 def _later(a: Column, b: Column) -> Column:
     return F.coalesce(a > b, a.isNotNull())
 

@@ -214,3 +214,25 @@ def test_stream_equals_batch(spark, tmp_path, seed):
         got = {(r["vol"], r["frn"]): (r["parent_frn"], r["name"], r["flags"]) for r in table.read(last).collect()}
         assert got == state
         table.compact(last)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_stream_in_arrival_order(spark, tmp_path, seed):
+    """Late and repeated records in later batches count at their usn, also after a compaction between batches."""
+    snap, recs = random_case(seed)
+    *_, state = replay(snap, recs)
+    late = [(0, usn, 50, 100, None, BITS[kind], None, name, None) for usn, kind, name in ((60, "delete", None), (50, "create", "old"), (60, "delete", None))]
+    late += [(0, usn, 51, 100, None, BITS["rename"], None, name, None) for usn, name in ((70, "new"), (65, "old"))]
+    state |= {(0, 50): (100, "old", DEAD), (0, 51): (100, "new", 0)}
+    current = {(r[0], r[1]): r for r in snap} | {(0, 200): (0, 200, 100, "still", None)}
+    state[(0, 200)] = (100, "still", None)
+    initial = spark.createDataFrame(list(current.values()), "vol int, frn long, parent_frn long, name string, flags int")
+    table, journal, v = StateTable(spark, str(tmp_path / "state"), initial), tmp_path / "journal", volumes(spark, next_usn=40)
+    recs = recs + recs[:8]
+    for at, part in enumerate([recs[:9] + late[:1], late[1:2] + late[3:4], recs[9:20], recs[20:] + late[2:3] + late[4:]]):
+        spark.createDataFrame(part, RAW_USN).coalesce(1).write.mode("append").parquet(str(journal))
+        query = follow(spark, str(journal), table, v, str(tmp_path / "checkpoint"), compact_every=2)
+        query.awaitTermination()
+        assert query.exception() is None
+    got = {(r["vol"], r["frn"]): (r["parent_frn"], r["name"], r["flags"]) for r in table.read(at).collect()}
+    assert got == state
