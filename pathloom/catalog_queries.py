@@ -138,12 +138,12 @@ def sets(spark, d):
 
 def paths(spark, d):
     tree = hierarchy(t(spark, d, "entries"), t(spark, d, "volumes"))
-    return tree.where("circle is null").select("vol", "frn", "place", "top", F.col("depth").cast("long").alias("depth"), "path")
+    return tree.where("place not in ('on', 'under')").select("vol", "frn", "place", "top", F.col("depth").cast("long").alias("depth"), "path")
 
 
 def descendants(spark, d):
     tree = hierarchy(t(spark, d, "entries"), t(spark, d, "volumes"))
-    return tree.where("circle is null and n_descendants > 0").select("vol", "frn", "n_descendants")
+    return tree.where("place not in ('on', 'under') and n_descendants > 0").select("vol", "frn", "n_descendants")
 
 
 def folders(spark, d):

@@ -140,13 +140,36 @@ def circles(entries: DataFrame, volumes: DataFrame, core_nodes: int = CORE_NODES
     return _walk(_nodes(entries, volumes, False), core_nodes, "\\", False, only_bad=True).select("vol", "frn", "place")
 
 
+def _circle_ids(ring: DataFrame) -> DataFrame:
+    """(vol, frn, circle) of nodes that all lie on circles: the smallest frn of each circle.
+
+    Pointer doubling over written tables: after k rounds ``circle`` is the
+    smallest of the 2^k nodes from frn on and ``to`` the node behind them. Once
+    a round lowers none, it is the smallest of all; that takes about log2 of
+    the longest circle rounds.
+    """
+    now = materialize(ring.select("vol", "frn", F.col("parent_frn").alias("to"), F.col("frn").alias("circle")), "ring")
+    while True:
+        ahead = now.select("vol", F.col("frn").alias("to"), F.col("to").alias("__to"), F.col("circle").alias("__circle"))
+        low = F.least("circle", "__circle")
+        after = now.join(ahead, ["vol", "to"]).select("vol", "frn", F.col("__to").alias("to"), low.alias("circle"), (low < F.col("circle")).alias("lowered"))
+        after = materialize(after, "ring")
+        drop_table(now.sparkSession, now)
+        if after.where("lowered").isEmpty():
+            return after.select("vol", "frn", "circle")
+        now = after.drop("lowered")
+
+
 def _walk(nodes: DataFrame, core_nodes: int, sep: str, with_paths: bool, only_bad: bool) -> DataFrame:
     layers, core, huge = _peel(nodes, core_nodes)
     blank = [F.lit(None).cast("string").alias(c) for c in ("name", "letter") if c not in core.columns]
     first = core.select("*", *blank, F.lit(0).cast("long").alias("before"))
     if huge:  # circles too long for one task; every residual node lies on one
-        solved = first.select("vol", "frn", "parent_frn", (F.col("below") + 1).alias("size"), F.lit("on").alias("place"), F.col("frn").alias("top"),
-                              F.lit(None).cast("long").alias("circle"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pre"), F.col("name").alias("path"))
+        ring = first if only_bad else first.join(_circle_ids(first), ["vol", "frn"])
+        circle = F.lit(None).cast("long") if only_bad else F.col("circle")
+        path = F.coalesce("name", F.lit("")) if with_paths else F.lit(None).cast("string")
+        solved = ring.select("vol", "frn", "parent_frn", (F.col("below") + 1).alias("size"), F.lit("on").alias("place"), F.col("frn").alias("top"),
+                             circle.alias("circle"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pre"), path.alias("path"))
     else:
         solved = first.groupBy("vol").applyInPandas(_solver(sep, with_paths), _CORE)
     solved = materialize(solved, "core")

@@ -193,6 +193,24 @@ def test_hierarchy(spark, seed, core):
     assert bad == {(k[1], r["place"]) for k, r in got.items() if r["place"] in ("on", "under")}
 
 
+def test_circle_ids_of_large_residuals(spark):
+    """Circles beyond ``core_nodes`` get the same ids, names and descendants as those solved in one task."""
+    rnd = random.Random(7)
+    frns = rnd.sample(range(1, 99), 40)
+    rings = [frns[:13], frns[13:21], frns[21:24], frns[24:25]]
+    up = {f: ring[i - 1] for ring in rings for i, f in enumerate(ring)}
+    for f in frns[25:]:
+        up[f] = rnd.choice(list(up))
+    df = entries(spark, [(0, f, p, None if f == frns[0] else f"n{f}", 1) for f, p in up.items()] + [(0, 100, 100, "", 1), (0, 101, 100, "free", 1)])
+    circle = {f: min(ring) for ring in rings for f in ring}
+    for f in frns[25:]:
+        circle[f] = circle[up[f]]
+    for core in (5, 400_000):
+        got = {r["frn"]: r for r in hierarchy.hierarchy(df, volumes(spark), core_nodes=core).collect()}
+        assert {f: r["circle"] for f, r in got.items()} == circle | {100: None, 101: None}
+        assert {f: r["path"] for f, r in got.items() if f in circle} == {f: "" if f == frns[0] else f"n{f}" for f in circle}
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_stream_equals_batch(spark, tmp_path, seed):
     snap, recs = random_case(seed)
