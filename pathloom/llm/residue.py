@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .forum import own_words, slices
 
-#: A line in at least this many posts of one host is boilerplate.
-RECURRENT = 25
+#: A line in at least this share of a host's posts, and in at least this many, is boilerplate.
+RECURRENT, RECURRENT_POSTS = 0.05, 3
 #: Most ordinary words left for one word of evidence.
 ORDINARY_SHARE = 0.5
 
@@ -138,13 +138,15 @@ def _dissect(batches):
 EVIDENCE = ("slot", "error", "notice", "filler")
 
 
-def residue(documents: DataFrame, host: str = "source", recurrent: int = RECURRENT) -> DataFrame:
+def residue(documents: DataFrame, host: str = "source", recurrent: float = RECURRENT, least: int = RECURRENT_POSTS) -> DataFrame:
     """(doc_id, kind) of posts that are template residue, filler, an error page or a script notice.
 
     kind: ``slot`` for an unfilled slot anywhere in the own words, else the
     evidence with most words. Null, empty and blanked posts have no own words
     and are no cases. A null host is a host of its own. Rows with a null doc_id
     cannot be named and are left out; a repeated row gives its result once.
+    A line is boilerplate in at least ``recurrent`` of a host's distinct posts,
+    and in ``least`` of them, so the rule is the same for hosts of every size.
 
     Only lines of posts with evidence are matched against the counts, so the
     bulk of the corpus is read and counted but never joined.
@@ -152,7 +154,9 @@ def residue(documents: DataFrame, host: str = "source", recurrent: int = RECURRE
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce(host, F.lit("")).alias("host"), "text")
     posts = materialize(texts.mapInPandas(_dissect, _LINES), "dissected")
     line = posts.select("doc_id", "host", F.explode("lines").alias("l")).where("l.kind = 'ordinary'").select("doc_id", "host", "l.line")
-    boilerplate = line.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= recurrent).select("host", "line", F.lit(True).alias("common"))
+    seen = line.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= least)
+    sizes = posts.groupBy("host").agg(F.count_distinct("doc_id").alias("of"))
+    boilerplate = seen.join(sizes, "host").where(F.col("n") >= F.col("of") * recurrent).select("host", "line", F.lit(True).alias("common"))
     suspect = posts.where(F.exists("lines", lambda x: x["kind"].isin(*EVIDENCE))).select("doc_id", "host", F.explode("lines").alias("l"))
     judged = suspect.select("doc_id", "host", "l.*").join(boilerplate, ["host", "line"], "left")
     words = F.col("words")

@@ -169,6 +169,16 @@ def test_boilerplate_is_subtracted(spark):
     assert [r["doc_id"] for r in residue.residue(spark.createDataFrame(rows, DOCS)).collect()] == [100]
 
 
+def test_boilerplate_follows_the_size_of_the_host(spark):
+    footer = "You are reading the garden board of the north side, be kind to each other and enjoy."
+    said = "In my case that second garden carried the bracket over the wall and down to the boat."
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, f"Some words of post {word(i)}.\n{footer}", "small") for i in range(4)] + [(10, f"Error 404\n{footer}", "small")]
+    rows += [(1000 + i, f"Some words of post {word(i)}.\n{said if i < 30 else ''}", "large") for i in range(1000)] + [(20, f"Error 404\n{said}", "large")]
+    rows += [(3000 + i, f"Some words of post {word(i)}.", "repeats") for i in range(20)] + [(30, f"Error 404\n{said}", "repeats")] * 30
+    assert [r["doc_id"] for r in residue.residue(spark.createDataFrame(rows, DOCS)).collect()] == [10]
+
+
 def test_slices(monkeypatch):
     monkeypatch.setattr(forum, "FRAME_CHARS", 5)
     texts = ["abc", None, "ab", "x", "y" * 20, "", "z"]
