@@ -169,6 +169,19 @@ def test_boilerplate_is_subtracted(spark):
     assert [r["doc_id"] for r in residue.residue(spark.createDataFrame(rows, DOCS)).collect()] == [100]
 
 
+def test_unlisted_names_and_number_words(spark):
+    item = "Yesterday in the market Priya bought seven red apples and gave 3 of them and Priya went home by bus"
+    copy = item.replace("Priya", "Okonkwo").replace("seven", "ninety")
+    mixed = item.replace("Priya", "Okonkwo", 1).replace("Priya", "Novak")
+    texts = [(1, copy), (2, item.lower()), (3, mixed), (4, item.replace("Priya", "James")), (5, copy.replace("red", "old").replace("gave", "sold"))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["kind"], r["n_windows"]) for r in leakage.contamination(docs, items).collect()}
+    n = len(item.split()) - 11
+    assert got == {1: ("reparameterised", n), 2: ("literal", n), 4: ("reparameterised", n)}
+    assert [r["doc_id"] for r in leakage.leaked(docs, items).collect()] == [2]
+
+
 def test_boilerplate_follows_the_size_of_the_host(spark):
     footer = "You are reading the garden board of the north side, be kind to each other and enjoy."
     said = "In my case that second garden carried the bracket over the wall and down to the boat."
