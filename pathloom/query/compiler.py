@@ -81,12 +81,19 @@ def _glob(node: Glob) -> Column:
 
 
 def _regex(node: Rx) -> Column:
-    exact = F.col("name").rlike(regex_dialect.translate(node.pattern, node.case))
+    java = regex_dialect.translate(node.pattern, node.case)
+    if java is None:
+        return _contains(Contains(node.pattern, node.case))
+    exact = F.col("name").rlike(java)
     name, change = (F.col("name"), str) if node.case else (F.col("name_fold"), fold)
     shape = regex_dialect.literal_shape(node.pattern)
     if shape and shape[1].isascii():
-        text = change(shape[1])
-        return {"contains": name.contains, "prefix": name.startswith, "suffix": name.endswith, "whole": lambda t: name == t}[shape[0]](text)
+        kind, text = shape[0], change(shape[1])
+        if kind == "contains":
+            return name.contains(text) & (F.lit(True) if node.case else _fits(text))
+        quick = {"prefix": name.startswith, "suffix": name.endswith, "whole": lambda t: name == t}[kind](text)
+        # Letters such as the long s are another case of an ASCII letter, but do not fold to it.
+        return quick if node.case else F.when(F.col("name").rlike("[^\\x00-\\x7F]"), exact).otherwise(quick)
     literal = regex_dialect.required_literal(node.pattern)
     return name.contains(change(literal)) & exact if literal.isascii() and literal else exact
 

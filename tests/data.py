@@ -23,13 +23,15 @@ def stored(spark, df, path):
     return spark.read.parquet(str(path))
 
 
-SAMPLE = [
-    (0, 100, 100, "", 1), (0, 101, 100, "Docs", 1), (0, 102, 100, "src", 1), (0, 200, 101, "report.txt", 0), (0, 201, 101, "photo.PNG", 0), (0, 202, 102, "main.rs", 0),
-    (0, 203, 102, "lib.rs", 0), (0, 204, 100, "notes.TXT", 0), (0, 205, 100, "setup.exe", 0), (0, 206, 102, "data.toml", 0), (0, 103, 102, "deep", 1), (0, 207, 103, "deep_file.md", 0),
+# One volume: folders two deep, names in both cases, one extension spelt in two ways.
+HOME = [
+    (0, 10, 10, "", 1), (0, 11, 10, "Recipes", 1), (0, 12, 10, "garden", 1), (0, 13, 12, "shed", 1), (0, 21, 11, "lentil_soup.md", 0), (0, 22, 11, "Cake.JPG", 0), (0, 23, 12, "plan.py", 0),
+    (0, 24, 12, "beds.py", 0), (0, 25, 10, "TODO.MD", 0), (0, 26, 10, "install.msi", 0), (0, 27, 12, "seeds.json", 0), (0, 28, 13, "shed_tools.csv", 0),
 ]
-TWO_DRIVE = SAMPLE + [(1, 500, 500, "", 1), (1, 501, 500, "Music", 1), (1, 502, 501, "song.mp3", 0), (1, 503, 501, "Live", 1), (1, 504, 503, "encore.FLAC", 0)]
-EQUIV = [
-    (0, 100, 100, "", 1), (0, 101, 100, "Docs", 1), (0, 102, 100, "src", 1), (0, 103, 100, "Ünïcödé", 1), (0, 200, 101, "report.txt", 0), (0, 201, 101, "photo.PNG", 0),
-    (0, 202, 102, "main.rs", 0), (0, 203, 102, "Main.RS", 0), (0, 204, 102, "archive.tar.gz", 0), (0, 205, 101, "README", 0), (0, 206, 103, "café.log", 0), (0, 207, 103, "naïve.TXT", 0),
-    (0, 208, 100, "we?ird.log", 0), (0, 209, 100, ".hidden", 0), (0, 210, 100, "UPPER.DLL", 0), (0, 211, 200, "under_file.txt", 0), (0, 212, 102, "star*.txt", 0), (0, 213, 102, "line\nfeed.log", 0),
+TWO_VOLUMES = HOME + [(1, 70, 70, "", 1), (1, 71, 70, "Talks", 1), (1, 73, 71, "2019", 1), (1, 72, 71, "intro.ogg", 0), (1, 74, 73, "closing.WAV", 0)]
+# Traps: accents, case twins, wildcards and line feeds in names, dots in odd places, a file that is a parent, letters whose other case is ASCII.
+ODD = [
+    (0, 10, 10, "", 1), (0, 11, 10, "Straße", 1), (0, 12, 10, "Ärger", 1), (0, 21, 11, "plan.py", 0), (0, 22, 11, "PLAN.Py", 0), (0, 23, 12, "crème brûlée.Txt", 0), (0, 24, 12, "a.b.c.tar", 0),
+    (0, 25, 10, ".profile", 0), (0, 26, 10, "what?.log", 0), (0, 27, 10, "50%*off.csv", 0), (0, 28, 10, "NOTICE", 0), (0, 29, 28, "inside a file.md", 0), (0, 30, 10, "two\nlines.log", 0),
+    (0, 31, 10, "\u017fetup.exe", 0), (0, 32, 10, "\u212aeys.csv", 0), (0, 33, 12, "x[1]{2}.bak", 0), (0, 34, 12, "ends.", 0), (0, 35, 10, "αβγ_7.log", 0), (0, 36, 10, "aab_aa", 0),
 ]

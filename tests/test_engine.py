@@ -7,14 +7,14 @@ from pathloom.plans.search import SearchRefused, search, sort_columns
 from pathloom.sources.scan import JournalGap, check_journal, scan_entries
 from pathloom.sources.snapshot import SnapshotError, SnapshotStore, Targets
 
-from .data import HITS, SAMPLE, TWO_DRIVE, entries, volumes
+from .data import HITS, HOME, TWO_VOLUMES, entries, volumes
 
 
 @pytest.fixture(scope="module")
 def engine(spark):
     meta = spark.createDataFrame([
-        (1, 1, "main.rs", "C:\\src", False, 10, 5000, 100), (1, 1, "main.rs", "C:\\src", False, 10, 5000, 100), (2, 1, "lib.rs", "C:\\src", False, None, 7000, None), (3, 1, None, None, False, 1, 1, 1)], HITS)
-    return Engine(entries(spark, TWO_DRIVE), volumes(spark, ((0, "C", 100), (1, "D", 500))), meta)
+        (1, 1, "plan.py", "C:\\garden", False, 10, 5000, 100), (1, 1, "plan.py", "C:\\garden", False, 10, 5000, 100), (2, 1, "beds.py", "C:\\garden", False, None, 7000, None), (3, 1, None, None, False, 1, 1, 1)], HITS)
+    return Engine(entries(spark, TWO_VOLUMES), volumes(spark, ((0, "C", 10), (1, "D", 70))), meta)
 
 
 def test_pages(engine):
@@ -28,7 +28,7 @@ def test_pages(engine):
 
 
 def test_time_order_keeps_nulls_last(engine):
-    for sort, want in (("modified", ["main.rs", "lib.rs"]), ("-modified", ["lib.rs", "main.rs"])):
+    for sort, want in (("modified", ["plan.py", "beds.py"]), ("-modified", ["beds.py", "plan.py"])):
         rows = engine.search("file:", limit=100, sort=sort).page.orderBy("position").collect()
         assert [r["name"] for r in rows[:2]] == want and all(r["modified_ms"] is None for r in rows[2:])
         ids = [r["entry_id"] for r in rows[2:]]
@@ -46,15 +46,15 @@ def test_refusal(engine, monkeypatch):
 
 
 def test_orphans_count_but_are_not_shown(spark):
-    e = Engine(entries(spark, SAMPLE + [(0, 300, 999, "lost.txt", 0), (0, 301, None, "none.txt", 0), (0, 302, 101, None, 0), (0, 101, 100, "Docs2", 0x8001)]), volumes(spark))
-    r = e.search("txt", limit=100)
-    assert r.total == 4 and sorted(x["name"] for x in r.page.collect()) == ["notes.TXT", "report.txt"]
-    assert e.search("report.txt").page.first()["path"] == "C:\\Docs2"  # a dead folder still names the path
-    assert e.count("wfn:Docs") == 0
+    e = Engine(entries(spark, HOME + [(0, 300, 999, "lost.md", 0), (0, 301, None, "none.md", 0), (0, 302, 11, None, 0), (0, 11, 10, "Cooking", 0x8001)]), volumes(spark, ((0, "C", 10),)))
+    r = e.search("ext:md", limit=100)
+    assert r.total == 4 and sorted(x["name"] for x in r.page.collect()) == ["TODO.MD", "lentil_soup.md"]
+    assert e.search("lentil_soup.md").page.first()["path"] == "C:\\Cooking"  # a dead folder still names the path
+    assert e.count("wfn:Recipes") == 0
 
 
 def test_volumes(spark):
-    e = Engine(entries(spark, TWO_DRIVE), volumes(spark, ((0, "C", 100), (1, "D", 500), (2, "E", 1))))
+    e = Engine(entries(spark, TWO_VOLUMES), volumes(spark, ((0, "C", 10), (1, "D", 70), (2, "E", 1))))
     assert {r["letter"]: r["live"] for r in e.status().collect()} == {"C": 12, "D": 5, "E": 0}
     e.set_enabled("d", False)
     assert e.count("") == 12
@@ -62,10 +62,10 @@ def test_volumes(spark):
     e.set_monitor("D", False)
     assert e.count("") == 17
     s = Session()
-    assert e.search("m", session=s).total >= e.search("mp3", session=s).total == 1
+    assert e.search("o", session=s).total >= e.search("ogg", session=s).total == 1
     e.remove_volume("C")
     assert e.count("") == 5
-    e.rescan(1, entries(spark, [(1, 500, 500, "", 1), (1, 600, 500, "new.txt", 0)]))
+    e.rescan(1, entries(spark, [(1, 70, 70, "", 1), (1, 80, 70, "new.txt", 0)]))
     assert e.count("") == 2
 
 
@@ -73,14 +73,14 @@ def test_snapshots(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "s"))
     with pytest.raises(SnapshotError):
         store.load()
-    e, v = entries(spark, TWO_DRIVE + [(0, 204, 100, "notes.TXT", 0x8000), (0, 205, 100, "setup.exe", 0x8000)]), volumes(spark, ((0, "C", 100), (1, "D", 500)))
+    e, v = entries(spark, TWO_VOLUMES + [(0, 25, 10, "TODO.MD", 0x8000), (0, 26, 10, "install.msi", 0x8000)]), volumes(spark, ((0, "C", 10), (1, "D", 70)))
     assert store.save(e, v, Targets(excluded=["Z"]), stamp=7) == 1 and store.save(e, v, stamp=7) == 1
     with pytest.raises(SnapshotError):
         store.save(e, v, scanning=True)
     assert store.load()[0].count() == 19 and store.targets().excluded == ["Z"]
     assert store.purge_tombstones(0.05) and not store.purge_tombstones(0.05)
     assert store.load()[0].count() == 17
-    store.swap_volume(1, entries(spark, [(1, 500, 500, "", 1)]))
+    store.swap_volume(1, entries(spark, [(1, 70, 70, "", 1)]))
     assert store.load()[0].count() == 13
     store.set_volume("d", enabled=False)
     assert store.load()[1].where("not enabled").count() == 1
@@ -103,9 +103,9 @@ def test_scan(spark):
 
 
 def test_rendering(engine):
-    page = engine.search("rs", limit=10).page
-    assert sorted(r["line"] for r in render.plain_lines(page).collect()) == ["C:\\src\\lib.rs", "C:\\src\\main.rs"]
-    assert "1970-01-01 00:00             10 C:\\src\\main.rs" in [r["line"] for r in render.long_lines(page).collect()]
+    page = engine.search("ext:py", limit=10).page
+    assert sorted(r["line"] for r in render.plain_lines(page).collect()) == ["C:\\garden\\beds.py", "C:\\garden\\plan.py"]
+    assert "1970-01-01 00:00             10 C:\\garden\\plan.py" in [r["line"] for r in render.long_lines(page).collect()]
     assert all('"name"' in r["line"] for r in render.json_lines(page).collect())
     rows = [{"path": "C:\\a", "name": "x", "is_dir": False}, {"path": "C:\\a", "name": "y", "is_dir": True}, {"path": "C:\\b", "name": "z", "is_dir": False}]
     assert render.compact_text(rows, 9) == "1-3 of 9, next offset 3\nC:\\a: x | y\\\nC:\\b: z"

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -5,49 +6,50 @@ import pytest
 from pathloom.plans.catalog import build_catalog
 from pathloom.plans.search import highlight, matches, with_path_filter
 from pathloom.query import ast, regex_dialect
+from pathloom.query.compiler import compile_node
 from pathloom.query.parser import parse, reusable
 from pathloom.session import materialize
 
-from .data import EQUIV, SAMPLE, TWO_DRIVE, entries, volumes
+from .data import HOME, ODD, TWO_VOLUMES, entries, volumes
 
-SAMPLE_CASES = {
-    "main rs": ["main.rs"], "main | photo": ["main.rs", "photo.PNG"], "rs !main": ["lib.rs"], '"main.rs"': ["main.rs"], "(main | lib) rs": ["lib.rs", "main.rs"],
-    "ext:rs;toml": ["data.toml", "lib.rs", "main.rs"], "ext:TXT": ["notes.TXT", "report.txt"], "folder:": ["", "Docs", "deep", "src"], "file:rs": ["lib.rs", "main.rs"],
-    r"regex:^m.*\.rs$": ["main.rs"], "wfn:main.rs": ["main.rs"], "*.rs": ["lib.rs", "main.rs"], "case:MAIN": [], "case:main": ["main.rs"], "zzz:qqq": [], "regex:(unclosed": [],
-    r"regex:^MAIN\.rs$": ["main.rs"], r"case:regex:^MAIN\.rs$": [], "path:src": ["data.toml", "deep", "deep_file.md", "lib.rs", "main.rs", "src"], "path:src/main": [],
-    r"path:src\main": ["main.rs"], 'case:"MAIN.rs"': ["main.rs"], "path:c": ["Docs", "data.toml", "deep", "deep_file.md", "lib.rs", "main.rs", "photo.PNG", "report.txt", "src"],
+HOME_CASES = {
+    "plan py": ["plan.py"], "plan | cake": ["Cake.JPG", "plan.py"], "py !plan": ["beds.py"], '"plan.py"': ["plan.py"], "(plan | beds) py": ["beds.py", "plan.py"],
+    "ext:py;json": ["beds.py", "plan.py", "seeds.json"], "ext:MD": ["TODO.MD", "lentil_soup.md"], "folder:": ["", "Recipes", "garden", "shed"], "file:py": ["beds.py", "plan.py"],
+    r"regex:^p.*\.py$": ["plan.py"], "wfn:plan.py": ["plan.py"], "*.py": ["beds.py", "plan.py"], "case:PLAN": [], "case:plan": ["plan.py"], "nope:nope": [], "regex:(open": [],
+    r"regex:^PLAN\.PY$": ["plan.py"], r"case:regex:^PLAN\.PY$": [], "path:garden": ["beds.py", "garden", "plan.py", "seeds.json", "shed", "shed_tools.csv"], "path:garden/plan": [],
+    r"path:garden\plan": ["plan.py"], 'case:"PLAN.py"': ["plan.py"], "path:ec": ["Cake.JPG", "Recipes", "lentil_soup.md"],
 }
-TWO_DRIVE_CASES = {
-    "audio:": ["encore.FLAC", "song.mp3"], "pic:": ["photo.PNG"], "exe:": ["setup.exe"], "audio:song": ["song.mp3"], "d: file:": ["encore.FLAC", "song.mp3"], "C: mp3": [],
-    r"d:\music\live": ["Live", "encore.FLAC"], r"parent:D:\Music": ["Live", "song.mp3"], "parent:d:\\music\\": ["Live", "song.mp3"], "parent:D:": ["Music"], "parent:d:/music": ["Live", "song.mp3"],
-    r"parent:C:\src rs": ["lib.rs", "main.rs"], r"parent:C:\nowhere": [], r"case:d:\Music": [],
+TWO_VOLUME_CASES = {
+    "audio:": ["closing.WAV", "intro.ogg"], "pic:": ["Cake.JPG"], "exe:": ["install.msi"], "audio:intro": ["intro.ogg"], "d: file:": ["closing.WAV", "intro.ogg"], "C: ogg": [],
+    r"d:\talks\2019": ["2019", "closing.WAV"], r"parent:D:\Talks": ["2019", "intro.ogg"], "parent:d:\\talks\\": ["2019", "intro.ogg"], "parent:D:": ["Talks"], "parent:d:/talks": ["2019", "intro.ogg"],
+    r"parent:C:\garden py": ["beds.py", "plan.py"], r"parent:C:\attic": [], r"case:d:\Talks": [],
 }
 EVERYTHING = ["", "|", "|||", "()", "<>", "ext:", "case:", "path:", "regex:", "wfn:", "parent:", '""', "***"]
 
 
 @pytest.fixture(scope="module")
 def catalogs(spark):
-    v = volumes(spark, ((0, "C", 100), (1, "D", 500)))
-    return {k: materialize(build_catalog(entries(spark, rows), v), k) for k, rows in (("sample", SAMPLE), ("two", TWO_DRIVE), ("equiv", EQUIV))}
+    v = volumes(spark, ((0, "C", 10), (1, "D", 70)))
+    return {k: materialize(build_catalog(entries(spark, rows), v), k) for k, rows in (("home", HOME), ("two", TWO_VOLUMES), ("odd", ODD))}
 
 
 def names(catalog, query):
     return sorted(r["name"] for r in matches(catalog, query).collect())
 
 
-@pytest.mark.parametrize("query", SAMPLE_CASES)
-def test_sample(catalogs, query):
-    assert names(catalogs["sample"], query) == SAMPLE_CASES[query]
+@pytest.mark.parametrize("query", HOME_CASES)
+def test_home(catalogs, query):
+    assert names(catalogs["home"], query) == HOME_CASES[query]
 
 
-@pytest.mark.parametrize("query", TWO_DRIVE_CASES)
-def test_two_drives(catalogs, query):
-    assert names(catalogs["two"], query) == TWO_DRIVE_CASES[query]
+@pytest.mark.parametrize("query", TWO_VOLUME_CASES)
+def test_two_volumes(catalogs, query):
+    assert names(catalogs["two"], query) == TWO_VOLUME_CASES[query]
 
 
 @pytest.mark.parametrize("query", EVERYTHING)
 def test_no_constraint(catalogs, query):
-    assert len(names(catalogs["sample"], query)) == 12
+    assert len(names(catalogs["home"], query)) == 12
 
 
 def by_hand(node, name, path, is_dir):
@@ -87,18 +89,19 @@ def by_hand(node, name, path, is_dir):
     raise TypeError(node)
 
 
-EQUIV_QUERIES = [
-    "main", "MAIN", "case:Main", "é", "CAFÉ", "ünï", "*.log", "*.LOG", "m*", "*i*", "m*.rs", "case:m*.rs", "?ain.rs", "we?ird.log", "star*.txt", "*a*e*", "*?", "wfn:readme", "case:wfn:README",
-    "ext:gz", "ext:hidden", "ext:tar.gz", "ext:log;dll", "!ext:rs", "!folder:", "file:a", "regex:^m", r"regex:\.log$", r"regex:^(main|lib)\.rs$", r"case:regex:[A-Z]{3,}", r"regex:a.*\.t", "regex:é", r"regex:f..d",
-    r"regex:^main\.rs$", "path:docs", "case:path:Docs", r"path:c:\src", r"c:\ünïcödé", "path:readme", "(a | b) !c", "<main|readme> file:", "a b | c d", "!!main", "line*", "*feed.log", "line?feed.log",
+ODD_QUERIES = [
+    "plan", "PLAN", "case:PLAN", "è", "CRÈME", "straße", "*.log", "*.LOG", "p*", "*l*", "p*.py", "case:p*.py", "?lan.py", "what?.log", "50%*off.csv", "*a*e*", "*?", "wfn:notice", "case:wfn:NOTICE",
+    "ext:tar", "ext:profile", "ext:c.tar", "ext:log;exe", "!ext:py", "!folder:", "file:a", "regex:^p", r"regex:\.log$", r"regex:^(plan|what)", r"case:regex:[A-Z]{3,}", r"regex:a.*\.t", "regex:è", r"regex:a.b",
+    r"regex:^plan\.py$", "path:straße", "case:path:Ärger", r"path:c:\ärger", r"c:\straße", "path:notice", "(a | b) !c", "<plan|notice> file:", "a b | c d", "!!plan", "two*", "*lines.log", "two?lines.log",
+    r"regex:\[1\]\{2\}", "ends.", "*.", "regex:^aa", "regex:aa$",
 ]
 
 
-@pytest.mark.parametrize("query", EQUIV_QUERIES)
+@pytest.mark.parametrize("query", ODD_QUERIES)
 def test_compiled_equals_by_hand(catalogs, query):
-    rows = catalogs["equiv"].collect()
+    rows = catalogs["odd"].collect()
     node = parse(query)
-    assert names(catalogs["equiv"], query) == sorted(r["name"] for r in rows if by_hand(node, r["name"], r["path"], r["is_dir"]))
+    assert names(catalogs["odd"], query) == sorted(r["name"] for r in rows if by_hand(node, r["name"], r["path"], r["is_dir"]))
 
 
 def test_parser():
@@ -117,17 +120,42 @@ def test_parser():
 
 
 def test_dialect():
-    assert regex_dialect.translate(r"a$[$]\$") == r"(?idU)a\z[$]\$"
-    assert regex_dialect.translate("[[:alpha:]-]", True) == r"(?dU)[\p{Alpha}-]"
-    assert not any(map(regex_dialect.accepts, ["a(?=b)", "(?<!a)b", r"(a)\1", "(", "[a", "*a"]))
-    assert all(map(regex_dialect.accepts, ["a(b|c)*", r"\d+\.\w", "[[:digit:]]", r"\p{L}+", "(?i)x", "(?:a)"]))
-    assert regex_dialect.required_literal(r"^ab+c?def\.x") == "def.x"[:0] + regex_dialect.required_literal(r"^ab+c?def\.x")
-    assert regex_dialect.required_literal("foo|bar") == "" and regex_dialect.required_literal("(abc)?x") == "x"
+    known = ["a(b|c)*", r"\d+\.\w", "[[:digit:]]", r"\p{L}+", "(?i)x", "(?:a)", "a|", "()", "^*", "[]a]", "[a-z&&[^x]]", r"\b{start}a", "(?-u:\\w)", r"\u{E9}", "a{2}{3}", "(?U)a+"]
+    unknown = ["a(?=b)", "(?<!a)b", r"(a)\1", "(", "[a", "*a", "a{,3}", "foo{", "x{a}", "(?a)a", "a{3,2}", "(?P<n>a)(?P<n>b)", "[z-a]", r"[\d-z]", "(?)", "(?i-)a", "\\", r"\Z", r"\x{D800}", "a)", "(?-u).", "(" * 500 + ")" * 500]
+    assert [p for p in known if not regex_dialect.accepts(p)] == [] and [p for p in unknown if regex_dialect.accepts(p)] == []
+    assert regex_dialect.literal_shape(r"^a\.b$") == ("whole", "a.b") and regex_dialect.literal_shape("a+") is None and regex_dialect.literal_shape(r"\x{41}b") == ("contains", "Ab")
+    assert regex_dialect.required_literal(r"^ab+c?def\.x") == "def.x" and regex_dialect.required_literal("foo|bar") == "" and regex_dialect.required_literal("(abc)?x") == "x"
+
+
+PATTERNS = {
+    r"(?P<y>\d+)": ["50%*off.csv", "x[1]{2}.bak", "αβγ_7.log"], r"(?<y>\d+)%": ["50%*off.csv"], r"^\p{Greek}+_": ["αβγ_7.log"], r"\p{sc=Greek}\d": [], r"\p{Nothing}": [], r"^\PL": ["", ".profile", "50%*off.csv"][1:], "a++b": ["aab_aa"],
+    "^a{2}{1}b": ["aab_aa"], "(?x) ^ plan  # a word": ["PLAN.Py", "plan.py"], "^[a-z&&[^p]]{3}_": ["aab_aa"], r"^[\w--[α-ω]]{4}\.": ["PLAN.Py", "ends.", "plan.py", "\u212aeys.csv"], "[[:^ascii:]]$": [], "^[[:upper:]]{6}$": ["NOTICE"],
+    "(?-i:^PLAN)": ["PLAN.Py"], "^s": ["\u017fetup.exe", "Straße"], "s": ["50%*off.csv", "Straße", "ends.", "inside a file.md", "two\nlines.log", "\u212aeys.csv"], "k": ["x[1]{2}.bak", "\u212aeys.csv"], "^keys": ["\u212aeys.csv"],
+    "two.lines": [], "(?s)two.lines": ["two\nlines.log"], "(?m)^lines": ["two\nlines.log"], r"(?m)two$": ["two\nlines.log"], r"\bfile\b": ["inside a file.md"], "a{,3}": [], "x[1]{": ["x[1]{2}.bak"], "[1]{2": ["x[1]{2}.bak"], r"^\x{61}\u0061b": ["aab_aa"],
+}
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_patterns(catalogs, pattern):
+    got = sorted(r["name"] for r in catalogs["odd"].where(compile_node(ast.Rx(pattern))).collect())
+    assert got == sorted(PATTERNS[pattern])
+
+
+def test_no_pattern_ends_a_job(catalogs):
+    """Whatever is typed gives rows: 200 made-up patterns, valid and broken."""
+    rnd = random.Random(4)
+    bits = ["a", "b", "é", ".", "*", "+", "?", "{2}", "{,3}", "{1,", "{", "}", "(", ")", "(?:", "(?P<n>", "(?i)", "(?-i)", "(?", "|", "[", "]", "[^", "a-z", "-", "&&", "~~", "--", "^", "$", "\\d", "\\W", "\\b", "\\", "\\1",
+            "\\p{L}", "\\p{", "\\x{41}", "[:alpha:]", "(?=", "(?<!", "++", "\\Q", "\\E", "\\z", "(?x)", "#", "\\k<n>", "\\R", "\\X", "\\h"]
+    made = ["".join(rnd.choices(bits, k=rnd.randrange(1, 9))) for _ in range(200)]
+    hit = [compile_node(parse("regex:" + p)).cast("int").alias(f"c{i}") for i, p in enumerate(made)]
+    for at in range(0, len(hit), 50):
+        assert len(catalogs["odd"].select(*hit[at:at + 50]).collect()) == len(ODD)
+    assert sum(map(regex_dialect.accepts, made)) > 25
 
 
-REUSE = [("foo", "foobar", True), ("ext:rs", "ext:rs main", True), ("ext:rs ", "ext:rs main", True), ("ext:r", "ext:rs", False), ("ext:rs", "ext:rs;toml", False), ("*.r", "*.rs", False),
-         ("wfn:fo", "wfn:foo", False), ("a !", "a !b", False), ("aaa", "aaa|bbb", False), ("aaa", 'aaa bbb"', False), ("aaa", "aaa (bbb)", False), ("aaa", "aaa <bbb>", False), ("a|b", "a|bc", False),
-         ("!a", "!ab", False), ("rep", "x", False)]
+REUSE = [("pl", "plan", True), ("ext:md", "ext:md soup", True), ("ext:md ", "ext:md soup", True), ("ext:m", "ext:md", False), ("ext:md", "ext:md,py", False), ("*.p", "*.py", False),
+         ("wfn:pl", "wfn:plan", False), ("soup !", "soup !md", False), ("soup", "soup|cake", False), ("soup", 'soup cake"', False), ("soup", "soup (cake)", False), ("soup", "soup <cake>", False),
+         ("soup|cake", "soup|cakes", False), ("!md", "!mdx", False), ("plan", "beds", False)]
 
 
 @pytest.mark.parametrize("before, after, ok", REUSE)
