@@ -98,8 +98,22 @@ edge as (select u.vol, u.frn, u.p from up u join newest n on u.vol = n.vol and u
 good as (select vol, frn from up u where not exists (select 1 from edge e where e.vol = u.vol and e.frn = u.frn)
   union all select e.vol, e.frn from good g join edge e on e.vol = g.vol and e.p = g.frn),
 bad as (select e.* from edge e where not exists (select 1 from good g where g.vol = e.vol and g.frn = e.frn)),
-chain as (select vol, frn origin, p spot, 1 hops from bad union all
-  select c.vol, c.origin, b.p, hops + 1 from chain c join bad b on c.vol = b.vol and c.spot = b.frn where c.spot <> c.origin and hops < 400)"""
+chain as (select vol, frn origin, p spot from bad union select c.vol, c.origin, b.p from chain c join bad b on c.vol = b.vol and c.spot = b.frn)"""
+
+# Circles cut open, subtrees counted, and the numbers handed down from the tops.
+_FOREST = rf"""{_WALK},
+ring as (select c.vol, c.origin frn, min(o.spot) circle from chain c join chain o on c.vol = o.vol and c.origin = o.origin where c.spot = c.origin group by 1, 2),
+link as (select e.* from edge e where not exists (select 1 from ring r where r.vol = e.vol and r.frn = e.frn)),
+above as (select vol, frn, p a from link union all select x.vol, x.frn, l.p from above x join link l on l.vol = x.vol and l.frn = x.a),
+size as (select vol, a frn, count(*) n from above group by 1, 2),
+named as (select n.vol, n.frn, coalesce(v.letter, '?') || ':' drive, coalesce(n.name, '') as name, coalesce(n.frn = v.root_frn, false) is_root
+  from (select vol, frn, arg_max_null(name, entry_id) as name from entries group by 1, 2) n left join volumes v on n.vol = v.vol),
+placed as (select l.*, coalesce(sum(1 + coalesce(s.n, 0)) over (partition by l.vol, l.p order by k.frn is null, l.frn rows between unbounded preceding and 1 preceding), 0)::bigint off
+  from link l left join size s on s.vol = l.vol and s.frn = l.frn left join (select distinct vol, p frn from edge) k on k.vol = l.vol and k.frn = l.frn),
+walk as (select n.vol, n.frn, n.frn top, 0 depth, 0::bigint pre, drive || case when is_root then '' else '\' || name end text from named n
+    where not exists (select 1 from link l where l.vol = n.vol and l.frn = n.frn)
+  union all select p.vol, p.frn, w.top, w.depth + 1, w.pre + 1 + p.off, w.text || '\' || n.name
+    from walk w join placed p on p.vol = w.vol and p.p = w.frn join named n on n.vol = p.vol and n.frn = p.frn)"""
 
 ORACLE = {
     "p2_found": f"{_ORPHANS} select tab, vol, row_key, kind from kinds where kind is not null",
@@ -111,6 +125,12 @@ ORACLE = {
         count(*) filter (flags & 32768 <> 0) n_dead, min(seen_at) first_seen, max(seen_at) last_seen from entries where parent_frn is not null group by 1, 2""",
 }
 # A chain below a circle never returns to its start, so it is told apart by absence.
+ORACLE["p5_hierarchy"] = rf"""{_FOREST} select w.vol, w.frn,
+    case when r.frn is not null then case when depth = 0 then 'on' else 'under' end when t.is_root then case when depth = 0 then 'root' else 'in' end when depth = 0 then 'orphan' else 'in_orphan' end place,
+    case when r.frn is null and t.is_root then w.top end root_frn, w.top, r.circle, case when r.frn is null then depth end depth, coalesce(s.n, 0) n_descendants,
+    case when r.frn is not null then n.name when t.is_root and depth = 0 then text || '\' else text end path, pre
+  from walk w join named n on n.vol = w.vol and n.frn = w.frn join named t on t.vol = w.vol and t.frn = w.top
+  left join ring r on r.vol = w.vol and r.frn = w.top left join size s on s.vol = w.vol and s.frn = w.frn"""
 ORACLE["p5_found"] = f"""{_WALK} select b.vol, b.frn, case when exists (select 1 from chain c where c.vol = b.vol and c.origin = b.frn and c.spot = b.frn) then 'on' else 'under' end place from bad b"""
 
 

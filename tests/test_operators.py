@@ -254,3 +254,21 @@ def test_stream_in_arrival_order(spark, tmp_path, seed):
         assert query.exception() is None
     got = {(r["vol"], r["frn"]): (r["parent_frn"], r["name"], r["flags"]) for r in table.read(at).collect()}
     assert got == state
+
+
+@pytest.mark.parametrize("core, most", [(0, 1), (3, 16)])
+def test_same_hierarchy_at_any_size(spark, monkeypatch, core, most):
+    """Peeled layers, pointer doubling and the core in one task give the same rows: tall chains, circles with tails, hot folders, ids beyond 2^53."""
+    rnd = random.Random(core + most)
+    big = 1 << 60
+    up = {100: 100} | {big + i: big + i - 1 if i else 100 for i in range(40)} | {200 + i: 200 + (i + 1) % 7 for i in range(7)} | {300 + i: 299 + i if i else 203 for i in range(11)} | {400: 400, 500: None, 501: 500, 502: 77}
+    up |= {big * 2 + (i << 17): rnd.choice([100, big + 39, 310, 401]) for i in range(60)}
+    rows = [(0, f, p, rnd.choice([None, f"n{f % 97}"]), 1) for f, p in up.items()] + [(5, f, p, "x", 1) for f, p in ((1, 2), (2, None))]
+    rnd.shuffle(rows)
+    df, v = entries(spark, rows), volumes(spark)
+    want = {(r["vol"], r["frn"]): r for r in hierarchy.hierarchy(df, v).collect()}
+    monkeypatch.setattr(hierarchy, "MOST_LAYERS", most)
+    monkeypatch.setattr(hierarchy, "SLICE_BITS", 2)
+    got = {(r["vol"], r["frn"]): r for r in hierarchy.hierarchy(df, v, core_nodes=core).collect()}
+    assert got == want and len(got) == len(rows)
+    assert {(r["vol"], r["frn"], r["place"]) for r in hierarchy.circles(df, v, core_nodes=core).collect()} == {(*k, r["place"]) for k, r in want.items() if r["place"] in ("on", "under")}
