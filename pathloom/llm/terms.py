@@ -1,91 +1,78 @@
 """Frequencies of every distinct term, in a vertical layout.
 
-A term's records are kept as compressed bitmaps, one container for each 32,768
-record ids: a sorted position list while sparse, a bitmap once dense, each with
-a parallel occurrence counter. Containers of one term are disjoint, so they
-merge by union, and the document frequency is the sum of their cardinalities.
+A term's records are a compressed bitmap: 64-bit words for 64 record ids each,
+of which only those with a bit are kept. Occurrences are counted in parallel
+bitmaps: the bitmap of level k holds the records in which the term occurs at
+least k times. Bitmaps of a term are built in each input partition and merged by
+union (bitwise OR), which combines before the shuffle and counts a record once
+however often it was delivered. The cardinality of level 1 is the document
+frequency, the sum over all levels the number of occurrences.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Record ids per container.
-SPAN = 1 << 15
-#: Positions from which a bitmap (4 KB) is smaller than a list of 2-byte positions.
-DENSE = 2048
+#: Record ids per word of a bitmap, as a power of two.
+WORD_BITS = 6
+#: Texts of more characters are taken apart by grouping, as ranking words inside one row is quadratic.
+LONG_TEXT = 2048
 
 TERM = "[\\p{L}\\p{N}]+"
 
 
-def _bucket(record: str):
-    return F.floor(F.col(record) / F.lit(SPAN))
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0))
 
 
-def containers(records: DataFrame, record: str, text: str) -> DataFrame:
-    """Containers of every term of ``text``: (term, bucket, cardinality, occurrences, positions, bitmap, repeats).
-
-    A term is a maximal run of letters and numbers of the lower-cased text. A
-    record delivered twice has the same positions and counters, so the union
-    counts it once. Null texts and null
-    record ids are no records; a text without a term has no container. Of
-    positions and bitmap one is null; repeats holds the counters above one.
-    """
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0))
-    marked = F.transform(words, lambda w, i: F.struct(w.alias("term"), (F.array_position(words, w) == i + 1).alias("first")))
-    one = records.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(
-        _bucket(record).alias("bucket"), F.pmod(F.col(record), F.lit(SPAN)).alias("bit"), F.explode(marked).alias("w"))
-    # Equal keys meet by (term, bucket), never by term alone: a term in a third of all records is spread over their buckets.
-    placed = one.select("w.term", "bucket", "bit", "w.first").repartition("term", "bucket")
-    # A record delivered n times shows each occurrence n times and the first one n times.
-    counted = placed.groupBy("term", "bucket", "bit").agg((F.count("*") / F.count_if("first")).cast("long").alias("times"))
-    return _packed(counted)
-
-
-def _packed(counted: DataFrame) -> DataFrame:
-    """Containers of distinct (term, bucket, bit, times)."""
-    packed = counted.groupBy("term", "bucket").agg(
-        F.count("*").alias("cardinality"), F.sum("times").alias("occurrences"), F.bitmap_construct_agg("bit").alias("bitmap"), F.collect_list("bit").alias("bits"),
-        F.collect_list(F.when(F.col("times") > 1, F.struct(F.col("bit").cast("int").alias("bit"), "times"))).alias("repeats"))
-    dense = F.col("cardinality") >= DENSE
-    return packed.select(
-        "term", "bucket", F.when(dense, F.bitmap_count("bitmap")).otherwise(F.col("cardinality")).alias("cardinality"), "occurrences",
-        F.when(~dense, F.array_sort("bits")).alias("positions"), F.when(dense, F.col("bitmap")).alias("bitmap"), F.array_sort("repeats").alias("repeats"))
+def _block(record: str) -> Column:
+    return F.shiftright(F.col(record), WORD_BITS)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bits(bitmaps: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")) for b in bitmaps], dtype=object)
+def _union(record: str) -> Column:
+    """Union of the bits of records of one block."""
+    return F.bit_or(F.expr(f"shiftleft(1L, cast(`{record}` & {(1 << WORD_BITS) - 1} as int))"))
 
 
-def merge_containers(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """Union of container tables, such as those of several deliveries.
+def term_bitmaps(records: DataFrame, record: str, text: str) -> DataFrame:
+    """(term, level, block, bits): the non-zero bitmap words of every term of ``text``.
 
-    A record found in more than one counts once, with its own counter.
+    A term is a maximal run of letters and numbers of the lower-cased text.
+    Null texts and null record ids are no records; a text without a term has no
+    bitmap. A record delivered again adds nothing; delivered with other texts it
+    counts in each of their terms, with the highest of its counts.
     """
+    rows = records.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(F.col(record).cast("long").alias("__id"), F.col(text).alias("__text"))
+    short = F.char_length("__text") <= LONG_TEXT
+    # Equal words stand together once sorted: the place behind the first of them is the level.
+    ranked = F.transform(F.array_sort(_words("__text")), lambda w, i: F.struct(w.alias("term"), i.alias("at")))
+    level = F.expr("transform(__ranked, x -> struct(x.term as term, x.at - array_position(__ranked.term, x.term) + 2 as level))")
+    few = rows.where(short).withColumn("__ranked", ranked).select("__id", F.explode(level).alias("w")).select("__id", "w.term", F.col("w.level").cast("int").alias("level"))
+    per_text = rows.where(~short).distinct().select("__id", F.xxhash64("__text").alias("__which"), F.explode(_words("__text")).alias("term"))
+    many = per_text.groupBy("__id", "__which", "term").agg(F.count("*").cast("int").alias("n")).select("__id", "term", F.explode(F.sequence(F.lit(1), "n")).alias("level"))
+    # Equal keys meet by block, never by term alone: a term in a third of all records is spread over their blocks.
+    return few.unionByName(many).groupBy("term", "level", _block("__id").alias("block")).agg(_union("__id").alias("bits"))
+
+
+def merge_bitmaps(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Union of bitmap tables, such as those of several deliveries: a record in more than one counts once."""
     every = first
     for other in others:
         every = every.unionByName(other)
-    listed = every.select("term", "bucket", F.coalesce("positions", _bits("bitmap")).alias("bits"), F.map_from_entries("repeats").alias("repeats"))
-    one = listed.select("term", "bucket", F.explode("bits").alias("bit"), "repeats").select(
-        "term", "bucket", "bit", F.coalesce(F.element_at("repeats", F.col("bit").cast("int")), F.lit(1).cast("long")).alias("times"))
-    return _packed(one.repartition("term", "bucket").groupBy("term", "bucket", "bit").agg(F.max("times").alias("times")))
+    return every.groupBy("term", "level", "block").agg(F.bit_or("bits").alias("bits"))
 
 
-def document_frequencies(table: DataFrame) -> DataFrame:
-    """(term, n_occurrences, n_records) of a container table."""
-    return table.groupBy("term").agg(F.sum("occurrences").alias("n_occurrences"), F.sum("cardinality").alias("n_records"))
+def frequencies(bitmaps: DataFrame) -> DataFrame:
+    """(term, n_occurrences, n_records) from the cardinalities of a bitmap table."""
+    n = F.bit_count("bits").cast("long")
+    return bitmaps.groupBy("term").agg(F.sum(n).alias("n_occurrences"), F.sum(F.when(F.col("level") == 1, n)).alias("n_records"))
 
 
 def count_records(records: DataFrame, record: str, text: str) -> int:
-    """Distinct record ids with a text, as the cardinality of their bitmaps."""
-    ids = records.where(F.col(text).isNotNull() & F.col(record).isNotNull())
-    bits = ids.groupBy(_bucket(record).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(F.col(record), F.lit(SPAN))).alias("bitmap"))
-    return bits.agg(F.sum(F.bitmap_count("bitmap"))).first()[0] or 0
+    """Distinct record ids with a text, as the cardinality of their bitmap."""
+    ids = records.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(F.col(record).cast("long").alias("__id"))
+    return ids.groupBy(_block("__id").alias("block")).agg(_union("__id").alias("bits")).agg(F.sum(F.bit_count("bits"))).first()[0] or 0
 
 
 def term_statistics(records: DataFrame, record: str, text: str, rare_below: int = 3, common_share: int = 50) -> DataFrame:
@@ -96,6 +83,6 @@ def term_statistics(records: DataFrame, record: str, text: str, rare_below: int
     An empty table gives no rows.
     """
     total = count_records(records, record, text)
-    per_term = document_frequencies(containers(records, record, text))
+    per_term = frequencies(term_bitmaps(records, record, text))
     mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") * common_share > total, "common")
     return per_term.select("term", "n_occurrences", "n_records", mark.alias("mark"))
