@@ -22,6 +22,8 @@ def slices(texts):
 
 _QUOTE = (re.compile(r"(?P<open><blockquote\b[^>]*>)|(?P<close></blockquote>)", re.I), re.compile(r"(?P<open>\[quote\b[^\]]*\])|(?P<close>\[/quote\])", re.I))
 _CODE = (re.compile(r"(?P<open>\[code\b[^\]]*\])|(?P<close>\[/code\])", re.I), re.compile(r"(?P<open><(?:code|pre)\b[^>]*>)|(?P<close></(?:code|pre)>)", re.I))
+# Pairs of marks in the order they are taken out, with what a text that holds them must contain.
+_MARKS = ((_CODE[0], ("[code", "[/code")), (_CODE[1], ("<code", "<pre", "</code", "</pre")), (_QUOTE[0], ("<blockquote", "</blockquote")), (_QUOTE[1], ("[quote", "[/quote")))
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _QUOTED_LINE = re.compile(r"\s*(?:>|&gt;)")
 _WROTE = re.compile(r"\s*\S{1,40} (?:wrote|schrieb|a écrit|escribió|написал(?:а)?) ?:\s*(?:<br ?/?>)?\s*$")
@@ -45,8 +47,9 @@ def without(text: str, marks: re.Pattern) -> str:
 
 def own_words(text: str) -> str:
     """The post without quoted parts, code and signature."""
-    for marks in (*_CODE, *_QUOTE):
-        if marks.search(text):
+    low = text.lower()
+    for marks, needs in _MARKS:
+        if any(need in low for need in needs):
             text = without(text, marks)
     if "```" in text:
         text = _FENCE.sub("\n", text)

@@ -11,6 +11,7 @@ import html
 import re
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +33,19 @@ LOREM = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusm
             "rutrum sodales velit ligula porta vitae tempus arcu vestibulum quis nulla pellentesque fusce aenean vivamus".split())
 
 _NAME = r"[A-Za-z][\w.]*"
-SLOT = re.compile("|".join([
-    r"\{\{[^{}\n]{0,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"<%[^<>\n]{0,60}%>", r"[#$]\{ ?" + _NAME + r" ?\}", r"\{ ?\$?" + _NAME + r" ?\}",
-    r"%%" + _NAME + r"%%", r"%(?!(?:" + "|".join(ENVIRONMENT) + r")%)[A-Z][A-Z_]{2,}%", r"\$[A-Z][A-Z_]{2,}\$", r"@@" + _NAME + r"@@", r"(?<!\w)__[A-Z][A-Z_]*[A-Z]__(?!\w)",
-    r"<<[\w. ]{1,40}>>", r"\[\[" + _NAME + r"\]\]", r"\[(?!(?:" + "|".join(BRACKETED) + r")\])[A-Z]{3,}(?:_[A-Z]+)*\]",
-    r"\[insert [^\[\]\n]{1,40}\]", r"\(your [\w. ]{1,30} here\)", r"\[your [^\[\]\n]{1,30}\]", r"\[post body\]",
-    r"<(?!(?:" + "|".join(HTML_TAGS) + r")>)[A-Za-z][A-Za-z_.]*(?: [A-Za-z_.]+){0,2}>",
-]))
+#: Slot patterns by a text that each needs, so that posts without it skip them.
+SLOTS = {need: re.compile(pattern) for need, pattern in {
+    "{": r"\{\{[^{}\n]{0,60}\}\}|\{%[^{}\n]{1,60}%\}|[#$]\{ ?" + _NAME + r" ?\}|\{ ?\$?" + _NAME + r" ?\}",
+    "<%": r"<%[^<>\n]{0,60}%>", "%%": r"%%" + _NAME + r"%%", "%": r"%(?!(?:" + "|".join(ENVIRONMENT) + r")%)[A-Z][A-Z_]{2,}%", "$": r"\$[A-Z][A-Z_]{2,}\$",
+    "@@": r"@@" + _NAME + r"@@", "__": r"(?<!\w)__[A-Z][A-Z_]*[A-Z]__(?!\w)", "<<": r"<<[\w. ]{1,40}>>", "[[": r"\[\[" + _NAME + r"\]\]",
+    "[": r"\[(?!(?:" + "|".join(BRACKETED) + r")\])[A-Z]{3,}(?:_[A-Z]+)*\]|\[insert [^\[\]\n]{1,40}\]|\[your [^\[\]\n]{1,30}\]|\[post body\]", "(your ": r"\(your [\w. ]{1,30} here\)",
+    "<": r"<(?!(?:" + "|".join(HTML_TAGS) + r")>)[A-Za-z][A-Za-z_.]*(?: [A-Za-z_.]+){0,2}>",
+}.items()}
+
+
+def has_slot(text: str) -> bool:
+    return any(need in text and pattern.search(text) for need, pattern in SLOTS.items())
+
 
 _SCRIPT = r"(?:java ?script|\bjs\b|\bscripts?\b|\bscripting\b|\bskript\w*|скрипт\w*|\bactive content\b)"
 _NOTICE = [
@@ -52,7 +59,7 @@ _ERROR = [
     rf"(?:http(?:/\d\.\d)? )?(?:error )?[45]\d\d\b[: -]*{_STATUS}?\W*$", rf"{_STATUS}\W*$", r"error [45]\d\d\W*$", rf"error:? {_STATUS}",
     r"(?:error|erreur|fehler|fallo|aviso|ошибка|сбой|störung|wartung|maintenance|incident|panne|mantenimiento|hinweis) ?\d* ?: .{3,70}$",
     r"(?:\w+-)?e(?:rr|rror)?_[a-z]+(?:_[a-z]+)*(?: \d+)?\W*$", r"(?:fatal error|parse error|warning|notice|unhandled exception) ?:.*(?:\bin \S+:\d+|\bon line \d+)",
-    r"traceback \(most recent", r"file \".*\", line \d+", r"\w*(?:error|exception): \S",
+    r"\w+ (?:error|exception|fault)\W*[\[(#]?\w*\d\w*[\])]?\W*: ?\S", r"traceback \(most recent", r"file \".*\", line \d+", r"\w*(?:error|exception): \S",
     r"(?:the|this|that)(?: requested)? (?:page|topic|post|board|thread|forum) (?:could not be|cannot be|does not exist|no longer exists|has been taken offline|has been moved|failed to load|is not available|is unavailable)",
     r"the page you are looking for", r"the (?:\w+ ){1,3}(?:is overloaded|refused the connection|timed out|did not answer|is down)(?: (?:after \d+ ?s|\(code \d+\)))?\W*$",
     r"the server reported code \d+", r"(?:sorry|oops)\W+something went wrong", r"you do not have permission", r"your session has expired", r"too many connections", r"access denied",
@@ -67,6 +74,11 @@ _FILLER = [
     r"todo: write [a-z]+?(?=todo|\b)", r"(?:title|your \w+|text|content) goes here", r"add some \w+ here", r"this is placeholder \w+", r"replace it before \w+", r"dummy post(?:, ignore)?", r"blindtext(?:, bitte ersetzen)?",
     r"hier steht später der eigentliche text", r"texte à venir", r"aquí va el contenido del mensaje", r"здесь будет текст", r"placeholder text", r"insert text here",
 ]
+# Every statement that one of the three pattern lists matches holds one of these.
+HINTS = ("script js skript скрипт active browser error err_ e_ exception erreur fehler fallo aviso ошибка ошибк сбой störung wartung maintenance incident panne mantenimiento hinweis warning notice traceback "
+         "page topic post board thread forum overloaded refused timed answer down reported went permission session connections denied verweigert seite demandée refusé denegado запрещ página страница "
+         "interne interno interner reference request loading server reload persists log sign melden again inténtelo réessayez versuchen попробуйте switch allow wait contact oops sorry uh whoops hmm "
+         "gateway conflict forbidden gone found unavailable unauthorized not method at file back").split()
 NOTICE, ERROR, CHROME = (re.compile(r"(?:notice: |hinweis: )?(?:" + "|".join(p) + ")", re.I) for p in (_NOTICE, _ERROR, _CHROME))
 FILLER = re.compile(r"(?:" + "|".join(_FILLER) + r")[.!…]*", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|\[/?(?:b|i|u|s|img|url|size|color|list|quote|code)\b[^\[\]]*\]", re.I)
@@ -75,57 +87,102 @@ _WORD = re.compile(r"[^\W_]+")
 _MASHED = re.compile(r"[b-df-hj-np-tv-xz]+|[a-z]*[b-df-hj-np-tv-xz]{4}[a-z]*")
 #: Words of the left hand and the home row alone.
 _KEYS = re.compile(r"[adefghjklqrstwz]+")
+_FILLER_HINTS = ("todo", "goes here", "add some", "placeholder", "replace it", "dummy", "blindtext", "hier steht", "texte à", "aquí va", "здесь", "insert")
+_DIGITS = re.compile(r"\d+")
 _TRACE = re.compile(r"\b(?:reference|request id) #?[0-9a-f]+\b", re.I)
+_STARTS_WITH_CODE = re.compile(r"(?:http|[45]\d\d\b|bad |too many)")
 _STATEMENT = re.compile(r"\n+|(?<=[.!?…])\s+")
 
 
+class _Mashed(dict):
+    """Word -> whether nobody can say it; looked up, as words recur."""
+
+    def __missing__(self, word: str) -> bool:
+        found = bool(_MASHED.fullmatch(word))
+        if len(self) < 200_000:
+            self[word] = found
+        return found
+
+
+_MASHED_WORDS = _Mashed()
+
+
 def _empty_words(words: list[str]) -> bool:
     """One or two words over and over, or keys struck at random."""
-    if len(words) >= 3 and (len(set(words)) == 1 or (len(words) >= 6 and len(set(words)) == 2)):
+    if len(words) < 3:
+        return False
+    kinds = len(set(words))
+    if kinds == 1 or (len(words) >= 6 and kinds == 2):
         return True
-    mashed = sum(bool(_MASHED.fullmatch(w)) for w in words)
-    return len(words) >= 3 and (mashed >= 0.6 * len(words) or (len(words) >= 5 and mashed > 0 and all(_KEYS.fullmatch(w) for w in words)))
+    mashed = sum(map(_MASHED_WORDS.__getitem__, words))
+    return mashed >= 0.6 * len(words) or (len(words) >= 5 and mashed > 0 and all(_KEYS.fullmatch(w) for w in words))
+
+
+def _hinted():
+    """Whether a lower-case text holds one of :data:`HINTS`, in one pass."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return re.compile("|".join(HINTS)).search
+    automaton = ahocorasick.Automaton()
+    for hint in HINTS:
+        automaton.add_word(hint, 1)
+    automaton.make_automaton()
+    return lambda text: next(automaton.iter(text), None)
+
+
+_HAS_HINT: list = []
+
+
+def hinted(text: str) -> bool:
+    if not _HAS_HINT:
+        _HAS_HINT.append(_hinted())
+    return _HAS_HINT[0](text) is not None or _STARTS_WITH_CODE.match(text) is not None
 
 
 def judge(statement: str) -> tuple[str, int]:
     """Kind of a statement (error, notice, filler, chrome, ordinary) and its number of words."""
-    words = _WORD.findall(statement.lower())
+    low = statement.lower()
+    words = _WORD.findall(low)
     if not words:
         return "chrome", 0
-    if len(words) >= 4 and sum(w in LOREM for w in words) >= 0.8 * len(words):
+    if len(words) >= 4 and words[0] in LOREM | {"and"} and sum(w in LOREM for w in words) >= 0.8 * len(words):
         return "filler", len(words)
     if _empty_words(words):
         return "filler", len(words)
-    for kind, pattern in (("notice", NOTICE), ("error", ERROR), ("chrome", CHROME)):
-        if pattern.match(statement):
-            return kind, len(words)
+    if hinted(low):
+        for kind, pattern in (("notice", NOTICE), ("error", ERROR), ("chrome", CHROME)):
+            if pattern.match(statement):
+                return kind, len(words)
     return "ordinary", len(words)
 
 
-def dissect(text: str | None) -> list[tuple[str, str, int]]:
-    """(normalised line, kind, words) of a post's own words; kind ``slot`` for an unfilled template slot."""
+def dissect(text: str | None) -> list[tuple[int | None, str, int]]:
+    """(hash of the normalised line, kind, words) of a post's own words; kind ``slot`` for an unfilled template slot. Only ordinary lines have a hash."""
     if not text:
         return []
     own = html.unescape(own_words(text))
-    out = [("", "slot", 1)] if SLOT.search(own) else []
+    out = [(None, "slot", 1)] if has_slot(own) else []
     plain = _TAG.sub("\n", own)
-    filler = sum(len(_WORD.findall(m)) for m in FILLER.findall(plain))
+    low = plain.lower()
+    filler = sum(len(_WORD.findall(m)) for m in FILLER.findall(plain)) if any(h in low for h in _FILLER_HINTS) else 0
     if filler:
-        out.append(("", "filler", filler))
+        out.append((None, "filler", filler))
         plain = FILLER.sub("\n", plain)
-    plain = _TRACE.sub("\n", plain)
+    if "reference" in low or "request" in low:
+        plain = _TRACE.sub("\n", plain)
     words = _WORD.findall(plain.lower())
     if _empty_words(words):
-        return [*out, ("", "filler", len(words))]
+        return [*out, (None, "filler", len(words))]
     for statement in _STATEMENT.split(plain):
         statement = " ".join(statement.split())
         if statement:
             kind, words = judge(statement)
-            out.append((re.sub(r"\d+", "0", statement.lower()) if kind == "ordinary" else "", kind, words))
+            out.append((xxhash.xxh3_64_intdigest(_DIGITS.sub("0", statement.lower())) - (1 << 63) if kind == "ordinary" else None, kind, words))
     return out
 
 
-_LINES = "doc_id long, host string, lines array<struct<line: string, kind: string, words: int>>"
+_LINES = "doc_id long, host string, lines array<struct<line: bigint, kind: string, words: int>>"
 
 
 def _dissect(batches):
@@ -148,17 +205,22 @@ def residue(documents: DataFrame, host: str = "source", recurrent: float = RECUR
     A line is boilerplate in at least ``recurrent`` of a host's distinct posts,
     and in ``least`` of them, so the rule is the same for hosts of every size.
 
-    Only lines of posts with evidence are matched against the counts, so the
-    bulk of the corpus is read and counted but never joined.
+    Only ordinary lines of posts with evidence are matched against the counts,
+    so the bulk of the corpus is read and counted but never joined. Lines are
+    known by a 64-bit hash. Rows are counted first, which combines before the
+    shuffle; only of lines that then may recur are distinct posts counted.
     """
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce(host, F.lit("")).alias("host"), "text")
     posts = materialize(texts.mapInPandas(_dissect, _LINES), "dissected")
-    line = posts.select("doc_id", "host", F.explode("lines").alias("l")).where("l.kind = 'ordinary'").select("doc_id", "host", "l.line")
-    seen = line.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= least)
+    mine = F.array_distinct(F.transform(F.filter("lines", lambda x: x["kind"] == "ordinary"), lambda x: x["line"]))
+    line = posts.select("doc_id", "host", F.explode(mine).alias("line"))
     sizes = posts.groupBy("host").agg(F.count_distinct("doc_id").alias("of"))
-    boilerplate = seen.join(sizes, "host").where(F.col("n") >= F.col("of") * recurrent).select("host", "line", F.lit(True).alias("common"))
-    suspect = posts.where(F.exists("lines", lambda x: x["kind"].isin(*EVIDENCE))).select("doc_id", "host", F.explode("lines").alias("l"))
-    judged = suspect.select("doc_id", "host", "l.*").join(boilerplate, ["host", "line"], "left")
+    often = line.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least).join(sizes, "host").where(F.col("n") >= F.col("of") * recurrent)
+    seen = line.join(often.select("host", "line", "of"), ["host", "line"]).groupBy("host", "line", "of").agg(F.count_distinct("doc_id").alias("n"))
+    boilerplate = seen.where((F.col("n") >= least) & (F.col("n") >= F.col("of") * recurrent)).select("host", "line", F.lit(True).alias("common"))
+    suspect = posts.where(F.exists("lines", lambda x: x["kind"].isin(*EVIDENCE))).select("doc_id", "host", F.explode("lines").alias("l")).select("doc_id", "host", "l.*")
+    matched = suspect.where("kind = 'ordinary'").join(boilerplate, ["host", "line"], "left")
+    judged = matched.unionByName(suspect.where("kind != 'ordinary'").withColumn("common", F.lit(None).cast("boolean")))
     words = F.col("words")
 
     def total(kind: str):
