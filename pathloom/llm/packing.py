@@ -218,3 +218,16 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return loads.agg(
         F.count("*").alias("n_containers"), F.coalesce(F.sum("load"), F.lit(0)).alias("n_tokens"), F.ceil(F.coalesce(F.sum("load"), F.lit(0)) / capacity).alias("least_containers"),
         (F.sum("load") / (F.count("*") * capacity)).alias("used"), F.max("load").alias("fullest"))
+
+
+def laws(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row: documents, documents whose tokens are not all there once, containers over ``capacity``, documents split although they fit."""
+    counts = materialize(token_counts(documents, vocabulary=vocabulary), "tokens")
+    packed = materialize(pack_documents(counts, capacity), "laws")
+    want = counts.groupBy("doc_id").agg(F.sum("n_tokens").alias("want"), F.count("*").alias("rows"), F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity))).alias("most"))
+    have = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("pieces"))
+    both = want.join(have, want["doc_id"].eqNullSafe(have["doc_id"]), "full")
+    lost, split = F.coalesce(F.col("want") != F.col("have"), F.lit(True)), F.coalesce(F.col("pieces") != F.col("most"), F.lit(True))
+    per_doc = both.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n_documents"), F.count_if(lost).alias("n_wrong_tokens"), F.count_if(split).alias("n_split"))
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("load")).agg(F.count_if(F.col("load") > capacity).alias("n_overfull"))
+    return per_doc.crossJoin(over).select("n_documents", "n_wrong_tokens", "n_overfull", "n_split")  # two single rows
