@@ -129,15 +129,15 @@ def apply_fold(joined: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.BinaryType())
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _superseded(kept: pd.Series, rows: pd.Series) -> pd.Series:
-    """Bitmap of the first ``rows`` positions that are not in ``kept``; null where there is none."""
+    """Bitmap, in words of 64 bits, of the first ``rows`` positions that are not in ``kept``; null where there is none."""
     out = []
     for bits, n in zip(kept, rows):
         on = np.frombuffer(bits, np.uint8) if bits is not None else np.zeros(BITS // 8, np.uint8)
         off = np.unpackbits(~on, bitorder="little")
         off[int(n):] = 0
-        out.append(np.packbits(off, bitorder="little").tobytes() if off.any() else None)
+        out.append(np.packbits(off, bitorder="little").view(np.int64) if off.any() else None)
     return pd.Series(out, dtype=object)
 
 
@@ -154,8 +154,7 @@ class DeltaTable:
         """The current state, one row per key, tombstones included: (vol, frn, parent_frn, name, flags)."""
         vectors = F.broadcast(self.vectors) if self.vector_bytes <= BROADCAST_BYTES else self.vectors
         bit = F.col("__pos").bitwiseAND(BITS - 1).cast("int")
-        byte = F.conv(F.hex(F.substring("__dead", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-        gone = F.getbit(byte.cast("long"), bit.bitwiseAND(7)) != 0
+        gone = F.getbit(F.get("__dead", F.shiftright(bit, 6)), bit.bitwiseAND(63)) != 0
         live = _positions(self.base).join(vectors, ["__file", "__block"], "left").where(F.col("__dead").isNull() | ~gone)
         cols = ["vol", "frn", "parent_frn", "name", "flags"]
         return live.select(*cols).unionByName(self.images.select(*cols))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators.changefeed import TOMBSTONE
 from ..operators.hierarchy import hierarchy
-from ..session import materialize
+from ..session import drop_table, materialize
 from ..sources.tables import newest_entries, read_table
 
 SEP = "\\"
@@ -45,14 +45,28 @@ def build_catalog(entries: DataFrame, volumes: DataFrame, paths: bool = True) ->
     })
 
 
-_BUILT: dict[tuple[str, str], DataFrame] = {}
+_BUILT: dict[tuple[str, str], tuple[list, DataFrame]] = {}
+
+
+def _state_of(spark: SparkSession, path: str) -> list:
+    """Files of a table with their sizes and times, which tell whether it was written anew."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files, out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
 
 
 def catalog_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue of a data folder, written once per application to the shared folder, name-sorted within volumes."""
+    """The catalogue of a data folder, name-sorted within volumes: built once per application, and again when the folder's files change."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
+    state = [_state_of(spark, f"{sf_dir}/{table}.parquet") for table in ("entries", "volumes")]
+    if key not in _BUILT or _BUILT[key][0] != state:
+        if key in _BUILT:
+            drop_table(spark, _BUILT[key][1])
         built = build_catalog(read_table(spark, sf_dir, "entries"), read_table(spark, sf_dir, "volumes"))
         # Equality and prefix predicates on the folded name then prune row groups.
-        _BUILT[key] = materialize(built.repartitionByRange("vol", "name_fold").sortWithinPartitions("vol", "name_fold"), "catalog")
-    return _BUILT[key]
+        _BUILT[key] = state, materialize(built.repartitionByRange("vol", "name_fold").sortWithinPartitions("vol", "name_fold"), "catalog")
+    return _BUILT[key][1]

@@ -15,6 +15,12 @@ from ..query.parser import parse
 TIME_SORT_LIMIT = 200_000
 
 
+#: Largest page that is broadcast to its metadata.
+PAGE_LIMIT = 10_000
+#: Rows of a page where the caller names none, and the most he may name: here, on the command line, for tools, in a window, in a window by time.
+PAGE_DEFAULTS = {"core": (1000, None), "cli": (100, None), "tool": (50, 500), "window": (1000, None), "window_by_time": (10_000, None)}
+
+
 class SearchRefused(Exception):
     """A time-ordered search over too many matches."""
 
@@ -37,7 +43,7 @@ def sort_columns(sort: str) -> list[Column]:
 
 ALIASES = {
     "name_desc": "-name", "path_desc": "-path", "date": "modified", "mtime": "modified", "-date": "-modified", "-mtime": "-modified", "modified_desc": "-modified",
-    "date_modified": "modified", "ctime": "created", "-ctime": "-created", "created_desc": "-created", "date_created": "created", "newest": "-modified", "oldest": "modified",
+    "date_modified": "modified", "ctime": "created", "-ctime": "-created", "created_desc": "-created", "date_created": "created", "newest": "-modified", "oldest": "modified", "newest_created": "-created", "oldest_created": "created",
 }
 
 
@@ -59,14 +65,19 @@ def matches(catalog: DataFrame, query: str | Node) -> DataFrame:
     return catalog.where("visible").where(compile_node(node, folder_resolver(catalog)))
 
 
-def enrich(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+def enrich(rows: DataFrame, metadata: DataFrame, page: bool = False) -> DataFrame:
     """Adds size, modified_ms and created_ms by (folder, name), null where nothing is known.
 
-    ``metadata``: path, name and the three columns; of repeated rows any one serves, as they agree.
+    ``metadata``: path, name and the three columns; of repeated rows any one
+    serves, as they agree. For a ``page``, which its limit bounds, only metadata
+    of its keys is grouped, and both sides stay where they are.
     """
+    if page:
+        keys = rows.select(F.col("folder").alias("path"), "name").distinct()
+        metadata = metadata.join(F.broadcast(keys), ["path", "name"], "left_semi")
     m = metadata.where("path is not null and name is not null").groupBy(F.col("path").alias("folder"), "name").agg(
         *[F.max(c).alias(c) for c in ("size", "modified_ms", "created_ms")])
-    return rows.join(m, ["folder", "name"], "left")
+    return rows.join(F.broadcast(m) if page else m, ["folder", "name"], "left")
 
 
 @dataclass
@@ -108,7 +119,7 @@ def search(catalog: DataFrame, query: str, limit: int = 1000, offset: int = 0, s
     rows = enrich(found, metadata) if by_time else found
     page = page_of(rows, sort, limit, offset)
     if metadata is not None and not by_time:
-        page = enrich(page, metadata)
+        page = enrich(page, metadata, page=0 < limit <= PAGE_LIMIT)
     return Result(hit_rows(page, not by_time), total, found)
 
 

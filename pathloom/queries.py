@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import catalog_queries
 from .operators import balance, changefeed, hierarchy, orphans
-from .sources.tables import read_table as t
+from .sources.tables import newest_entries, read_table as t
 
 # --- problems 2 to 5 -------------------------------------------------------
 
@@ -33,6 +35,13 @@ def p4_folder_results(spark, d):
     return balance.folder_results(t(spark, d, "entries"))[0]
 
 
+def p4_rows_with_folder(spark, d):
+    """Every row with the newest name of its folder: names are copied to the shards of hot folders only."""
+    e = t(spark, d, "entries").where("parent_frn is not null").select("entry_id", "vol", "parent_frn")
+    names = newest_entries(t(spark, d, "entries"), "name").select("vol", F.col("frn").alias("parent_frn"), F.col("name").alias("folder"))
+    return balance.balanced_join(e, names, ["vol", "parent_frn"], ["entry_id"]).select("entry_id", "folder")
+
+
 def p5_found(spark, d):
     return hierarchy.circles(t(spark, d, "entries"), t(spark, d, "volumes"))
 
@@ -41,7 +50,7 @@ def p5_hierarchy(spark, d):
     return hierarchy.hierarchy(t(spark, d, "entries"), t(spark, d, "volumes"))
 
 
-PROBLEMS = {f.__name__: f for f in (p2_found, p2_orphans_by_day, p3_found, p3_current_state, p4_found, p4_folder_results, p5_found, p5_hierarchy)}
+PROBLEMS = {f.__name__: f for f in (p2_found, p2_orphans_by_day, p3_found, p3_current_state, p4_found, p4_folder_results, p4_rows_with_folder, p5_found, p5_hierarchy)}
 
 _RECORDS = """
 vols as (select vol, max(next_usn) nu, arg_max_null(root_frn, next_usn) root from volumes group by vol),
@@ -121,6 +130,8 @@ ORACLE = {
     "p3_found": f"{_STATE} select distinct s.vol, s.frn, s.parent_frn, s.name, s.flags from state s join recs r on s.vol = r.vol and s.frn = r.frn where not dead",
     "p3_current_state": f"{_STATE} select vol, frn, parent_frn, name, flags from state where not dead",
     "p4_found": "select vol, parent_frn from entries where parent_frn is not null group by 1, 2 having count(*) * 50 > (select count(*) from entries)",
+    "p4_rows_with_folder": """with n as (select vol, frn, arg_max_null(name, entry_id) folder from entries group by 1, 2)
+        select entry_id, folder from entries e join n on e.vol = n.vol and e.parent_frn = n.frn""",
     "p4_folder_results": """select vol, parent_frn, count(*) n_rows, count(distinct frn) n_children, count(*) filter (flags & 1 <> 0) n_dirs,
         count(*) filter (flags & 32768 <> 0) n_dead, min(seen_at) first_seen, max(seen_at) last_seen from entries where parent_frn is not null group by 1, 2""",
 }

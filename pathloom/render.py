@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime
 from itertools import groupby
 
 from pyspark.sql import DataFrame
@@ -29,15 +30,23 @@ def json_lines(page: DataFrame) -> DataFrame:
     return page.select(F.to_json(F.struct(*page.columns)).alias("line"))
 
 
-def compact_text(rows: list[dict], total: int, offset: int = 0) -> str:
-    """Grouped text for language-model tools: neighbouring rows of one folder share a line."""
+def _shown(row: dict, details: bool) -> str:
+    name = row["name"] + ("\\" if row["is_dir"] else "")
+    known = [f"{row['size']} B"] if details and row.get("size") is not None else []
+    if details and row.get("modified_ms") is not None:
+        known.append(datetime.fromtimestamp(row["modified_ms"] / 1000, UTC).strftime("%Y-%m-%d %H:%M"))
+    return f"{name} ({', '.join(known)})" if known else name
+
+
+def compact_text(rows: list[dict], total: int, offset: int = 0, details: bool = False) -> str:
+    """Grouped text for language-model tools: neighbouring rows of one folder share a line; ``details`` adds size and time."""
     if not rows:
         return f"0 shown of {total}"
     end = offset + len(rows)
     head = f"{offset + 1}-{end} of {total}" + (f", next offset {end}" if end < total else "")
     lines = [head]
     for folder, group in groupby(rows, key=lambda r: r["path"]):
-        names = [r["name"] + ("\\" if r["is_dir"] else "") for r in group]
+        names = [_shown(r, details) for r in group]
         lines.append(f"{folder}: {' | '.join(names)}")
     return "\n".join(lines)
 

@@ -15,12 +15,16 @@ _ROOTS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, read from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, notebooks on one machine) a
-    temporary folder is made and removed at exit.
+    Only where that setting is absent on a local master (tests, notebooks on
+    one machine) a temporary folder is made and removed at exit; on a cluster,
+    whose machines would not share it, RuntimeError is raised.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         _ROOTS[app] = tempfile.mkdtemp(prefix="pathloom-")

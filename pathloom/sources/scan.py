@@ -55,6 +55,27 @@ def check_journal(first_usn: int, journal_id: int, cursor_usn: int, cursor_journ
         raise JournalGap("the journal does not continue from the cursor")
 
 
+def journal_gaps(journal: DataFrame, volumes: DataFrame, journal_ids: dict[int, int] | None = None) -> DataFrame:
+    """Per volume with records: vol, first_usn, next_usn (the cursor) and gap: the journal no longer reaches back to the cursor, or is another one.
+
+    ``journal_ids`` has the ids found now, where they are known.
+    """
+    first = journal.where("vol is not null and usn is not null").groupBy("vol").agg(F.min("usn").alias("first_usn"))
+    cursor = volumes.where("vol is not null").groupBy("vol").agg(F.max("next_usn").alias("next_usn"), F.max_by("journal_id", "next_usn").alias("__id"))
+    changed = F.lit(False)
+    for vol, found in (journal_ids or {}).items():
+        changed = changed | ((F.col("vol") == vol) & (F.col("__id") != found))
+    return first.join(cursor, "vol").select("vol", "first_usn", "next_usn", ((F.col("first_usn") > F.col("next_usn")) | changed).alias("gap"))
+
+
+def resync(journal: DataFrame, volumes: DataFrame, rescan, journal_ids: dict[int, int] | None = None) -> list[int]:
+    """Scan every volume anew whose journal has a gap: ``rescan(vol)`` swaps the new rows in. The number of volumes bounds what is collected."""
+    broken = sorted(r["vol"] for r in journal_gaps(journal, volumes, journal_ids).where("gap").select("vol").collect())
+    for vol in broken:
+        rescan(vol)
+    return broken
+
+
 def folder_metadata(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, size, modified_ms) of the files below a real folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")

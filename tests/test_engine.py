@@ -91,6 +91,60 @@ def test_snapshots(spark, tmp_path):
         store.load()
 
 
+def test_versions_share_what_did_not_change(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    v = volumes(spark, ((0, "C", 10), (1, "D", 70)))
+    store.save(entries(spark, TWO_VOLUMES + [(1, 75, 70, "gone", 0x8000), (None, 1, 1, "no volume", 0)]), v)
+    files = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    before = files()
+    store.set_volume("C", enabled=False)
+    store.set_targets(Targets(include_removable=True))
+    assert store.targets().include_removable and store.load()[0].count() == 19
+    assert not [p for p in files().keys() - before.keys() if "entries" in p.parts]
+    store.swap_volume(1, entries(spark, [(1, 70, 70, "", 1), (1, 75, 70, "gone", 0x8000)]))
+    assert {p.parts[-2] for p in files().keys() - before.keys() if "entries" in p.parts} == {"vol=1"}
+    assert store.load(1)[0].count() == 2 and store.load()[0].count() == 15
+    head = store.header()
+    assert store.compact() > head["version"] and store.header()["epoch"] == head["epoch"] + 1
+    ids = sorted(r["entry_id"] for r in store.load()[0].collect())
+    assert ids == list(range(14)) and store.vacuum() >= 3 and store.load()[0].count() == 14
+    stale, late = store.header(), SnapshotStore(spark, str(tmp_path / "s"))
+    store.set_volume("C", enabled=True)
+    with pytest.raises(SnapshotError):
+        late._commit(stale, stale | {"version": stale["version"] + 1})
+
+
+def test_tools_and_command_line(spark, tmp_path, capsys):
+    from pathloom import tools
+    from pathloom.__main__ import main
+
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    store.save(entries(spark, TWO_VOLUMES), volumes(spark, ((0, "C", 10), (1, "D", 70))))
+    e = Engine(*store.load(), store=store)
+    ask = lambda method, key=1, **params: tools.answer(e, {"jsonrpc": "2.0", "id": key, "method": method, "params": params})
+    assert ask("initialize", protocolVersion="2025-03-26")["result"]["protocolVersion"] == "2025-03-26" and ask("ping")["result"] == {}
+    assert [t["name"] for t in ask("tools/list")["result"]["tools"]] == ["search_files", "index_status"]
+    said = lambda reply: reply["result"]["content"][0]["text"]
+    assert said(ask("tools/call", name="search_files", arguments={"query": "ext:py", "limit": 1})) == "1-1 of 2, next offset 1\nC:\\garden: beds.py"
+    assert said(ask("tools/call", name="index_status")).startswith("17 live rows")
+    bad = ask("tools/call", name="search_files", arguments={"query": "x", "sort": "size"})
+    assert bad["result"]["isError"] and said(bad).startswith("sort must be one of")
+    assert ask("nothing")["error"]["code"] == -32601 and ask("tools/call", name="x")["error"]["code"] == -32602
+    assert tools.answer(e, {"method": "ping"}) is None and tools.answer(e, [])["error"]["code"] == -32600 and len(tools.answer(e, [{"id": 1, "method": "ping"}, {"method": "ping"}])) == 1
+    out = []
+    tools.serve(e, ["", "{", '{"id": 2, "method": "ping"}'], out.append)
+    assert '"code": -32700' in out[0] and '"id": 2' in out[1] and len(out) == 2
+    assert e.request_rescan("d") == ["D"] and e.request_rescan() == ["D", "C"] and e.run_rescans(lambda letter: None) == 0
+    data = str(tmp_path / "s")
+    assert main([data, "--snapshot", "search", "ext:py", "--stats"]) == 0 and "C:\\garden\\plan.py" in capsys.readouterr().out
+    assert main([data, "--snapshot", "search", "nope"]) == 1 and main([str(tmp_path / "none"), "--snapshot", "status"]) == 3
+    assert main([data, "--snapshot", "volume", "D", "--no-enabled"]) == 0 and main([data, "--snapshot", "config", "--removable"]) == 0
+    assert store.targets().include_removable and store.volumes().where("not enabled").count() == 1
+    spark.createDataFrame([(70, 70, 0x10, "", 1), (90, 70, 0, "fresh.txt", 1)], "frn LONG, parent_frn LONG, attrs INT, name STRING, usn LONG").write.parquet(str(tmp_path / "scan"))
+    assert main([data, "--snapshot", "rescan", "D", "--scan", str(tmp_path / "scan")]) == 0 and store.load()[0].count() == 14
+    assert main([data, "--snapshot", "search", "plan", "--sort", "no"]) == 2
+
+
 def test_scan(spark):
     rows = [(100, 100, 0x10, "", 1), (7, 100, 0, "$MFT", 1), (8, 100, 0x12, "b", 1), (8, 100, 0x12, "a", 1), (9, 8, 0, "late", 50), (10, 8, 0, "$x", 2)]
     out = scan_entries(spark.createDataFrame(rows, "frn LONG, parent_frn LONG, attrs INT, name STRING, usn LONG"), volumes(spark), 0, snapshot_usn=10, first_id=5)
