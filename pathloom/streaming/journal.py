@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.changefeed import FOLD, apply_fold, current_records, fold_changes, merge_folds
-from ..sources.scan import JournalGap, journal_gaps, resync
+from ..sources.scan import resync
 from ..sources.tables import SCHEMAS
 
 STATE = ["vol", "frn", "parent_frn", "name", "flags"]
@@ -58,17 +58,9 @@ class StateTable:
         self.base, self.base_version = self.spark.read.schema(self.base.schema).parquet(path), version
 
 
-def _without_gaps(spark: SparkSession, journal_dir: str, volumes: DataFrame, checkpoint: str, rescan) -> None:
-    """Only a new tail starts at the cursor of the snapshot; one with a checkpoint goes on where it was."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(checkpoint)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return
-    journal = spark.read.schema(SCHEMAS["raw_usn"]).parquet(journal_dir)
-    if rescan is not None:
-        resync(journal, volumes, rescan)
-    elif (broken := journal_gaps(journal, volumes).where("gap").select("vol").first()) is not None:
-        raise JournalGap(f"the journal of volume {broken['vol']} does not reach back to the snapshot")
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def step(batch: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -84,11 +76,12 @@ def follow(
     Records may come in any order and repeatedly, within a batch and across
     batches. After a restart the checkpoint continues; a repeated batch gives
     the same delta. Volumes with ``monitor`` false are not followed. With
-    ``rescan``, volumes whose journal has a gap are scanned anew first
-    (:func:`pathloom.sources.scan.resync`); without it :class:`JournalGap` is
-    raised for them, as a tail with a hole would be wrong.
+    ``rescan``, given where the folder already holds the start of the journal,
+    volumes whose journal has a gap are scanned anew before a first tail
+    (:func:`pathloom.sources.scan.resync`).
     """
-    _without_gaps(spark, journal_dir, volumes, checkpoint, rescan)
+    if rescan is not None and not _exists(spark, checkpoint):
+        resync(spark.read.schema(SCHEMAS["raw_usn"]).parquet(journal_dir), volumes, rescan)
     watched = volumes.where(F.coalesce("monitor", F.lit(True)))
     source = spark.readStream.schema(SCHEMAS["raw_usn"]).option("maxFilesPerTrigger", files_per_batch).parquet(journal_dir)
 

@@ -116,7 +116,7 @@ def test_versions_share_what_did_not_change(spark, tmp_path):
 
 def test_tools_and_command_line(spark, tmp_path, capsys):
     from pathloom import tools
-    from pathloom.__main__ import main
+    from pathloom.__main__ import main, parser, run
 
     store = SnapshotStore(spark, str(tmp_path / "s"))
     store.save(entries(spark, TWO_VOLUMES), volumes(spark, ((0, "C", 10), (1, "D", 70))))
@@ -135,14 +135,13 @@ def test_tools_and_command_line(spark, tmp_path, capsys):
     tools.serve(e, ["", "{", '{"id": 2, "method": "ping"}'], out.append)
     assert '"code": -32700' in out[0] and '"id": 2' in out[1] and len(out) == 2
     assert e.request_rescan("d") == ["D"] and e.request_rescan() == ["D", "C"] and e.run_rescans(lambda letter: None) == 0
-    data = str(tmp_path / "s")
-    assert main([data, "--snapshot", "search", "ext:py", "--stats"]) == 0 and "C:\\garden\\plan.py" in capsys.readouterr().out
-    assert main([data, "--snapshot", "search", "nope"]) == 1 and main([str(tmp_path / "none"), "--snapshot", "status"]) == 3
-    assert main([data, "--snapshot", "volume", "D", "--no-enabled"]) == 0 and main([data, "--snapshot", "config", "--removable"]) == 0
+    do = lambda *words: run(e, parser().parse_args(["DATA", *words]), spark)
+    assert do("search", "ext:py", "--stats") == 0 and "C:\\garden\\plan.py" in capsys.readouterr().out and do("search", "nope") == 1
+    assert do("volume", "D", "--no-enabled") == 0 and do("config", "--removable") == 0 and do("status") == do("volumes", "--json") == 0 and do("rescan", "Q", "--scan", "x") == 2
     assert store.targets().include_removable and store.volumes().where("not enabled").count() == 1
     spark.createDataFrame([(70, 70, 0x10, "", 1), (90, 70, 0, "fresh.txt", 1)], "frn LONG, parent_frn LONG, attrs INT, name STRING, usn LONG").write.parquet(str(tmp_path / "scan"))
-    assert main([data, "--snapshot", "rescan", "D", "--scan", str(tmp_path / "scan")]) == 0 and store.load()[0].count() == 14
-    assert main([data, "--snapshot", "search", "plan", "--sort", "no"]) == 2
+    assert do("rescan", "D", "--scan", str(tmp_path / "scan")) == 0 and store.load()[0].count() == 14
+    assert main([str(tmp_path / "none"), "--snapshot", "status"]) == 3 and main([str(tmp_path / "s"), "--snapshot", "search", "plan", "--sort", "no"]) == 2
 
 
 def test_scan(spark):

@@ -272,3 +272,13 @@ def test_same_hierarchy_at_any_size(spark, monkeypatch, core, most):
     got = {(r["vol"], r["frn"]): r for r in hierarchy.hierarchy(df, v, core_nodes=core).collect()}
     assert got == want and len(got) == len(rows)
     assert {(r["vol"], r["frn"], r["place"]) for r in hierarchy.circles(df, v, core_nodes=core).collect()} == {(*k, r["place"]) for k, r in want.items() if r["place"] in ("on", "under")}
+
+
+def test_journal_gaps(spark):
+    from pathloom.sources.scan import journal_gaps, resync
+
+    v = volumes(spark, ((0, "C", 100), (1, "D", 100), (2, "E", 100)), next_usn=40)
+    j = spark.createDataFrame([(vol, usn, 1, 1, None, 0, 0, "x", None) for vol, usn in ((0, 10), (0, 90), (1, 41), (None, 1), (7, 1), (2, 5))], RAW_USN)
+    assert {r["vol"]: r["gap"] for r in journal_gaps(j, v).collect()} == {0: False, 1: True, 2: False}
+    again = []
+    assert resync(j, v, again.append, {2: 99}) == [1, 2] == again and journal_gaps(j.where("false"), v).count() == 0
