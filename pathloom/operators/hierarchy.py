@@ -205,17 +205,21 @@ def _doubled_descent(rows: DataFrame, sep: str) -> DataFrame:
     return now.drop("to")
 
 
-def _solve(nodes: DataFrame, core_nodes: int) -> tuple[DataFrame, int, bool]:
-    """All folders with layer, size, leaves and, where they are residual, place, top, circle and depth."""
+def _solve(nodes: DataFrame, core_nodes: int) -> tuple[DataFrame, int, bool, list[DataFrame]]:
+    """All folders with layer, size, leaves and, where they are residual, place, top, circle and depth.
+
+    Also the number of layers, whether the residual was small, and the tables all of this is read from.
+    """
     layers, residual, n = _peel(nodes, core_nodes)
     small = n <= core_nodes
     solved = _for_pandas(residual.select("vol", "frn", "up", "is_root", "below")).groupBy("vol").applyInPandas(_solve_core, _SOLVED) if small else _doubled_solution(residual)
-    last = residual.drop("below", "children").join(materialize(solved, "solved"), ["vol", "frn"]).withColumn("layer", F.lit(len(layers)))
+    solved = materialize(solved, "solved")
+    last = residual.drop("below", "children").join(solved, ["vol", "frn"]).withColumn("layer", F.lit(len(layers)))
     blank = [F.lit(None).cast(kind).alias(c) for c, kind in last.select("place", "top", "circle", "depth").dtypes]
     for i, layer in enumerate(layers):
         rows = layer.withColumn("size", F.col("below") + 1).drop("below", "children").select("*", *blank, F.lit(i).alias("layer"))
         last = last.unionByName(rows)
-    return last, len(layers), small
+    return last, len(layers), small, [*layers, residual, solved]
 
 
 def _sliced(rows: DataFrame) -> DataFrame:
@@ -237,13 +241,14 @@ def _before(rows: DataFrame, keys: list[str], at: str, value: str, part: str = "
     return rows.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(carried, [*keys, part]).withColumn("before", F.col("__inside") + F.col("__carried")).drop("__inside", "__carried")
 
 
-def _with_parents(rows: DataFrame, parents: DataFrame, how: str = "left") -> DataFrame:
+def _with_parents(rows: DataFrame, parents: DataFrame, how: str = "left", asked: DataFrame | None = None) -> DataFrame:
     """``rows``, sliced, with the columns of their parent (``parents`` is keyed by vol, up).
 
     A parent is copied to each slice of its children, and children meet it by
     slice: a folder with a third of all rows is spread over many tasks.
+    ``asked`` has the slices of ``rows`` where these are dear to compute twice.
     """
-    slices = rows.where("up is not null").select("vol", "up", "__slice").distinct().join(parents, ["vol", "up"])
+    slices = (rows if asked is None else asked).where("up is not null").select("vol", "up", "__slice").distinct().join(parents, ["vol", "up"])
     return rows.join(slices, ["vol", "up", "__slice"], how)
 
 
@@ -254,7 +259,7 @@ def circles(entries: DataFrame, volumes: DataFrame, core_nodes: int = CORE_NODES
     only a volume's root_frn is a root; a null or absent parent ends the chain.
     """
     nodes = _nodes(entries, volumes, False)
-    folders, last, _ = _solve(nodes, core_nodes)
+    folders, last, _, _ = _solve(nodes, core_nodes)
     known = folders.where((F.col("layer") == last) & F.expr(_BAD)).select("vol", "frn", "place")
     for layer in reversed(range(last)):
         known = materialize(known, "bad")
@@ -302,12 +307,14 @@ def hierarchy(entries: DataFrame, volumes: DataFrame, sep: str = "\\", core_node
     makes a node the top of its own tree; a null name counts as empty.
     """
     nodes = _nodes(entries, volumes, True)
-    folders, last, small = _solve(nodes, core_nodes)
+    folders, last, small, made = _solve(nodes, core_nodes)
     cut = folders.where("up is not null and (place is null or place != 'on')").select("vol", "frn", "up", "size")
     off = _before(_sliced(cut), ["vol", "up"], "frn", "size").select("vol", "frn", F.col("before").alias("off"))
     inner = (F.col("size") - 1 - F.col("leaves")).alias("folders")
     sized = folders.join(off, ["vol", "frn"], "left").select("*", inner).withColumn("off", F.coalesce("off", F.lit(0)))
     sized = materialize(sized, "sized", ["layer"])
+    for used in made:
+        drop_table(used.sparkSession, used)
 
     core = sized.where(F.col("layer") == last).withColumn("own", F.when((F.col("depth") == 0) & (F.col("place") != "on"), _own(sep)).otherwise(_name()))
     if small:
@@ -328,8 +335,9 @@ def hierarchy(entries: DataFrame, volumes: DataFrame, sep: str = "\\", core_node
         parts.append(materialize(_placed(rows, sep).select(*columns), "placed"))
 
     leaves = nodes.where("kids = 0")
-    inside = _before(_sliced(leaves.where("up is not null")).withColumn("one", F.lit(1)), ["vol", "up"], "frn", "one")
-    rows = _with_parents(inside, parents()).withColumn("off", F.col("p_folders") + F.col("before"))
+    children = _sliced(leaves.where("up is not null"))
+    inside = _before(children.withColumn("one", F.lit(1)), ["vol", "up"], "frn", "one")
+    rows = _with_parents(inside, parents(), asked=children).withColumn("off", F.col("p_folders") + F.col("before"))
     alone = leaves.where("up is null")
     out = _placed(rows, sep).withColumn("size", F.lit(1).cast("long")).select(*columns[:-1])
     tops = F.when(F.col("is_root"), "root").otherwise("orphan")
