@@ -104,14 +104,14 @@ class Windows:
                 self.memo[word] = found
         return found
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per window: template, literal, listed template. Windows with unlisted names come a second time, these as slots."""
+    def of(self, text: str | None, unlisted: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per window: template, literal, listed template. With ``unlisted``, windows with unlisted names come a second time, these as slots."""
         found = words(text)
         if len(found) < self.window:
             return (np.zeros(0, np.int64),) * 3
         codes = np.array([self.codes(w) for w in found], np.uint64)
         listed, literal = _rolling(codes[:, 0], self.window), _rolling(codes[:, 1], self.window)
-        also = names(text)
+        also = names(text) if unlisted else None
         if not also:
             return listed, literal, listed
         at = np.array([w in also for w in found])
@@ -121,12 +121,12 @@ class Windows:
         return np.concatenate([listed, wide]), np.concatenate([literal, literal[more]]), np.concatenate([listed, listed[more]])
 
 
-def _windows(window: int):
+def _windows(window: int, unlisted: bool):
     def run(batches):
         make = Windows(window)
         for pdf in batches:
             for rows in slices(pdf["text"].array):
-                pairs = [make.of(t) for t in pdf["text"].iloc[rows]]
+                pairs = [make.of(t, unlisted) for t in pdf["text"].iloc[rows]]
                 yield pd.DataFrame({"id": pdf["id"].iloc[rows], "template": [p[0] for p in pairs], "literal": [p[1] for p in pairs], "listed": [p[2] for p in pairs]})
 
     return run
@@ -135,27 +135,27 @@ def _windows(window: int):
 _SCHEMA = "id long, template array<long>, literal array<long>, listed array<long>"
 
 
-def template_windows(texts: DataFrame, row_id: str, text: str, window: int = WINDOW) -> DataFrame:
-    """(id, template, literal, listed): the windows of a text, those with unlisted names under both templates. Texts shorter than a window have none.
+def template_windows(texts: DataFrame, row_id: str, text: str, window: int = WINDOW, unlisted: bool = True) -> DataFrame:
+    """(id, template, literal, listed): the windows of a text, those with ``unlisted`` names under both templates. Texts shorter than a window have none.
 
     ``listed`` is the template with listed names alone, one for each window.
     """
     rows = texts.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("id"), F.col(text).alias("text"))
-    arrays = rows.mapInPandas(_windows(window), _SCHEMA)
+    arrays = rows.mapInPandas(_windows(window, unlisted), _SCHEMA)
     pairs = F.explode(F.arrays_zip("template", "literal", "listed")).alias("w")
     return arrays.select("id", pairs).select("id", "w.template", "w.literal", "w.listed")
 
 
-def _matched(documents: DataFrame, items: DataFrame, window: int) -> DataFrame:
+def _matched(documents: DataFrame, items: DataFrame, window: int, unlisted: bool = True) -> DataFrame:
     """(doc_id, item_id, literal): pairs that share a template window; literal if the slots of one are filled alike.
 
     Items are held once, as one row per template window. Their number decides
     on a broadcast. Pairs are reduced to one row each before any shuffle of them.
     """
-    asked = materialize(template_windows(items, "item_id", "text", window).select("id", "template", "literal").distinct(), "items")
+    asked = materialize(template_windows(items, "item_id", "text", window, unlisted).select("id", "template", "literal").distinct(), "items")
     count = asked.count()
     asked = asked.select(F.col("id").alias("item_id"), "template", F.col("literal").alias("asked"))
-    windows = template_windows(documents, "doc_id", "text", window).withColumnRenamed("id", "doc_id")
+    windows = template_windows(documents, "doc_id", "text", window, unlisted).withColumnRenamed("id", "doc_id")
     if count <= BROADCAST_WINDOWS:
         asked = F.broadcast(asked)
     both = windows.join(asked, "template")
@@ -169,7 +169,8 @@ def leaked(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     nothing; an item shorter than the window is never found; a repeated row
     gives its pairs once.
     """
-    return _matched(documents, items, window).where("literal").select("doc_id", "item_id")
+    # Equal words have equal templates whatever counts as a name, so unlisted names need no windows of their own here.
+    return _matched(documents, items, window, unlisted=False).where("literal").select("doc_id", "item_id")
 
 
 def consistent(document: str, item: str, window: int) -> bool:
