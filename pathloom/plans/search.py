@@ -72,7 +72,8 @@ def enrich(rows: DataFrame, metadata: DataFrame, page: bool = False) -> DataFram
     serves, as they agree. For a ``page``, which its limit bounds, only metadata
     of its keys is grouped, and both sides stay where they are.
     """
-    if page:
+    if page:  # ordered once: its few rows come to the driver, where they are bound anyway
+        rows = rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
         keys = rows.select(F.col("folder").alias("path"), "name").distinct()
         metadata = metadata.join(F.broadcast(keys), ["path", "name"], "left_semi")
     m = metadata.where("path is not null and name is not null").groupBy(F.col("path").alias("folder"), "name").agg(
