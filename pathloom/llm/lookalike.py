@@ -13,7 +13,10 @@ import math
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,21 +137,41 @@ class Reader:
         return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: self.token(m.group()), simplify(text)))
 
 
+def _count_plain(names: pa.Array, counts: np.ndarray) -> None:
+    """Add the bigrams of ASCII names to ``counts``, whose index is 128 * letter before (0: none) + letter."""
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names.cast(pa.string())), " ")
+    codes = np.frombuffer(b" " + joined[0].as_buffer().to_pybytes(), np.uint8)
+    letters = np.where((codes | 32) - 97 < 26, codes, 0).astype(np.int64)
+    counts += np.bincount(128 * letters[:-1] + letters[1:], minlength=len(counts))
+
+
 def _count_bigrams(batches):
-    for pdf in batches:
-        seen: Counter = Counter()
-        for text in pdf["name"]:
+    seen: Counter = Counter()
+    counts = np.zeros(128 * 128, np.int64)
+    for batch in batches:
+        names = batch.column("name")
+        plain = pc.string_is_ascii(names)
+        _count_plain(names.filter(plain), counts)
+        for text in names.filter(pc.invert(plain)).to_pylist():
             for token in _TOKEN.findall(simplify(text)):
                 letters = [ch for ch in token if not unicodedata.combining(ch)]
                 scripts = {script(ch) for ch in letters}
                 if len(scripts) == 1 and "other" not in scripts:
                     seen.update(zip(["", *letters], letters))
-        yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["a", "b", "n"])
+    for code in np.flatnonzero(counts):
+        a, b = divmod(int(code), 128)
+        if b:
+            seen[chr(a) if a else "", chr(b)] += int(counts[code])
+    rows = [{"a": a, "b": b, "n": n} for (a, b), n in seen.items()]
+    yield pa.RecordBatch.from_pylist(rows, pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
 
 
 def train(names: DataFrame) -> Reader:
-    """Bigram model over all tokens of one script in ``names`` (column name). Its size is bounded by the alphabets."""
-    rows = names.mapInPandas(_count_bigrams, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    """Bigram model over all tokens of one script in ``names`` (column name). Its size is bounded by the alphabets.
+
+    ASCII names are counted as bytes, a batch at a time; nulls count as nothing.
+    """
+    rows = names.select("name").mapInArrow(_count_bigrams, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
     return Reader({(r["a"], r["b"]): r["n"] for r in rows})
 
 
@@ -201,11 +224,12 @@ def twins(rows: DataFrame, odd: DataFrame, folder: list[str], row_id: str) -> Da
 
 
 def _prepared(entries: DataFrame, hits: DataFrame, reader: Reader | None = None) -> tuple[DataFrame, Reader]:
-    """Odd names of both tables in one shared table, and the model, trained on all of them unless given."""
+    """Odd names of both tables in one shared table, and the model, trained on all names of both, plain ones too, unless given."""
     e = entries.select(F.lit("entries").alias("tab"), F.col("entry_id").alias("id"), "vol", "parent_frn", F.lit(None).cast("string").alias("path"), "name")
     h = hits.select(F.lit("hits").alias("tab"), F.col("hit_id").alias("id"), F.lit(None).cast("int").alias("vol"), F.lit(None).cast("long").alias("parent_frn"), "path", "name")
-    odd = materialize(e.unionByName(h).where("name is not null").where(~_plain("name")), "odd")
-    reader = reader or train(odd.select("name"))
+    both = e.unionByName(h)
+    odd = materialize(both.where("name is not null").where(~_plain("name")), "odd")
+    reader = reader or train(both)
     return odd.withColumn("canonical", canonical_udf(reader)("name")), reader
 
 

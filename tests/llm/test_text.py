@@ -81,6 +81,23 @@ def test_a_kept_model_gives_the_same_forms(spark, tmp_path):
     assert {r["id"]: r["canonical"] for r in lookalike.canonical_names(none, later, kept).collect()} == {9: "журнал", 10: "cop"}
 
 
+def test_the_model_counts_plain_names_too(spark):
+    plain = ["race rank_ray2", "RACE", "", "x\ny", "naïve", "журнал", "наш сажа", "ﬁle", "Ж1ж", "мiх", "資料"]
+    rows = [(i, plain[i % len(plain)], "p") for i in range(50)] + [(99, "rажer", "p"), (100, None, "p")]
+    e, h = spark.createDataFrame([(i, 0, i, 1, n, 0, None) for i, n, _ in rows[::3]], ENTRIES), hits(spark, rows)
+    want = Counter()
+    for name in [n for _, n, _ in rows + rows[::3] if n is not None]:
+        for token in lookalike._TOKEN.findall(lookalike.simplify(name)):
+            letters = [ch for ch in token if not unicodedata.combining(ch)]
+            if len(scripts := {lookalike.script(ch) for ch in letters}) == 1 and "other" not in scripts:
+                want.update(zip(["", *letters], letters))
+    reader = lookalike._prepared(e, h)[1]
+    assert reader.bigrams == want and want["r", "a"] > 0 and want["", "r"] > 0
+    form = {r["name"]: r["canonical"] for r in lookalike.canonical_names(e, h).collect()}["rажer"]
+    odd = lookalike.train(h.where("name rlike '[^\\\\x00-\\\\x7F]'"))
+    assert form == lookalike.Reader(want).canonical("rажer") != odd.canonical("rажer")
+
+
 def test_twins(spark):
     names = [n for pair in TWINS + DIFFER for n in pair]
     rows = [(i, 0, i, i % 2 if i % 7 else None, names[i % len(names)] if i % 11 else None, 0, None) for i in range(200)]
